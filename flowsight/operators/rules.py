@@ -157,3 +157,19 @@ def false_positives(
     """Benign rows (label 0) the limits flag, with the reasons."""
     flagged = threshold_flag(df, payload, frequency, volume).where((F.col("label") == 0) & F.col("flagged"))
     return explain(flagged, payload, frequency, volume)
+
+
+def sequence_report(sequences: DataFrame) -> DataFrame:
+    """One row per file of packet sequences: features rounded to two digits, and whether it is suspicious.
+
+    The verdict uses unrounded features. A file without a sequence keeps its error and has no features.
+    """
+    keys = ("file", "src_ip", "dst_ip", "error")
+    flagged = threshold_flag(sequence_features(sequences, keys), name="suspicious")
+    readable = F.col("error").isNull()
+    shown = lambda column, name: F.when(readable, F.round(column, 2)).alias(name)
+    return flagged.select(
+        "file", F.when(readable, F.col("src_ip")).alias("src_ip"), F.when(readable, F.col("dst_ip")).alias("dst_ip"),
+        shown("avg_packet_size", "avg_payload"), shown("frequency", "freq_pps"), shown("volume_rate", "volume_bps"),
+        F.when(readable, F.col("suspicious")).alias("suspicious"), "error",
+    )

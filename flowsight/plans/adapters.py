@@ -13,6 +13,7 @@ from flowsight.operators.metrics import CLASS_NAMES
 
 CHUNK_CHARS = 30
 HALF_DAY = 12 * 3600.0
+CENTURY = 100 * 365 * 86400.0
 FIRST_MOMENT_US = 1_700_000_000_000_000
 
 
@@ -47,7 +48,7 @@ def event_packets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_flows(spark: SparkSession, folder: str) -> DataFrame:
-    return meter(event_packets(spark, folder), HALF_DAY)
+    return meter(event_packets(spark, folder), HALF_DAY, slice_width=HALF_DAY)
 
 
 def order_packets(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +56,7 @@ def order_packets(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     order = F.col("l_orderkey")
     return lines.select(*_packets(
-        F.unix_micros(F.col("l_shipdate").cast("timestamp")), F.col("l_linenumber").cast("bigint"),
+        F.unix_micros(F.col("l_shipdate").cast("timestamp")), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey"),
         F.col("l_returnflag") == "N", F.concat(F.lit("order-"), order.cast("string")),
         (order % 60000 + 1024).cast("int"), 40 + 20 * F.col("l_quantity"), F.lit(443),
     ))
@@ -67,7 +68,7 @@ def order_flows(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey"),
         F.when(F.col("o_orderstatus") == "F", CLASS_NAMES[1]).otherwise(CLASS_NAMES[0]).alias("Label"),
     )
-    flows = meter(order_packets(spark, folder), 100 * 365 * 86400.0)
+    flows = meter(order_packets(spark, folder), CENTURY, slice_width=CENTURY)
     client = F.when(F.col("SourcePort") == 443, F.col("DestinationIP")).otherwise(F.col("SourceIP"))
     order = F.substring_index(client, "-", -1).cast("bigint")
     return flows.withColumn("flow_id", order).join(orders, F.col("flow_id") == F.col("o_orderkey")).drop("o_orderkey")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_SESSIONS = "array<struct<features:array<array<double>>,meta:struct<src_ip:string,dst_ip:string>>>"
-_LISTS = "array<array<array<double>>>"
+from flowsight.functions.numeric import to_number
+
+_SESSIONS = "array<struct<features:array<array<string>>,meta:struct<src_ip:string,dst_ip:string>>>"
+_LISTS = "array<array<array<string>>>"
 
 # The messages of files that hold no sequence.
 EMPTY_FILE = "Empty file or invalid format"
@@ -34,7 +36,8 @@ def parse_packet_sequences(files: DataFrame) -> DataFrame:
         F.coalesce(meta["dst_ip"], F.lit("unknown")).alias("dst_ip"), features.alias("features"), error.alias("error"),
     )
     return sessions.select("file", "src_ip", "dst_ip", "error", F.posexplode_outer("features").alias("pos", "packet")).select(
-        "file", "src_ip", "dst_ip", "pos", F.col("packet")[0].alias("ts"), F.col("packet")[2].alias("size"), "error"
+        "file", "src_ip", "dst_ip", "pos", to_number(F.col("packet")[0]).alias("ts"),
+        to_number(F.col("packet")[2]).alias("size"), "error"
     )
 
 
