@@ -6,7 +6,9 @@ fire it; readers turn NaN into NULL before anything compares.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def nan_to_null(value: Column) -> Column:
@@ -30,6 +32,13 @@ def to_number(value: Column) -> Column:
     return nan_to_null(F.when(~(suffixed | hexadecimal), text.try_cast("double")))
 
 
+def numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """The columns as DOUBLE with missing values NULL; only text is parsed."""
+    text = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "varchar", "char")}
+    plain = lambda c: nan_to_null(F.col(c).cast("double"))
+    return {c: to_number(F.col(c)) if c in text else plain(c) for c in columns}
+
+
 def is_true(condition: Column) -> Column:
     """A comparison with a missing value does not hold."""
     return F.coalesce(condition, F.lit(False))

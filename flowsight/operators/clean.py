@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
-from flowsight.functions.numeric import inf_to_null, to_number
+from flowsight.functions.numeric import inf_to_null, nan_to_null, numbers
 from flowsight.schema import FEATURES, LABEL
 
 # The two labels and their codes.
@@ -21,14 +21,22 @@ SKETCH_SLACK = 2.0 / SKETCH_ACCURACY
 
 def clean(df: DataFrame, features: Sequence[str] = FEATURES, inf_as_missing: bool = True) -> DataFrame:
     """Features as DOUBLE; text that is no number, NaN and, if asked, infinities become NULL."""
-    fix = (lambda c: inf_to_null(to_number(c))) if inf_as_missing else to_number
-    return df.withColumns({c: fix(F.col(c)) for c in features if c in df.columns})
+    typed = df.withColumns(numbers(df, [c for c in features if c in df.columns]))
+    if not inf_as_missing:
+        return typed
+    return typed.withColumns({c: inf_to_null(F.col(c)) for c in features if c in df.columns})
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
     """Drop rows with a missing, NaN or infinite value in any column."""
-    numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns({c: inf_to_null(F.col(c)) for c in numeric}).na.drop("any")
+    for field in df.schema.fields:
+        value = F.col(field.name)
+        if field.dataType.typeName() in ("double", "float"):
+            value = inf_to_null(nan_to_null(value))
+        # One condition per column: a single condition over all of them makes the optimizer derive every
+        # combination of their equals.
+        df = df.where(value.isNotNull())
+    return df
 
 
 def known_labels(df: DataFrame, label: str = LABEL, name: str = "label") -> DataFrame:

@@ -51,6 +51,11 @@ class RuleModel:
             float(config.get("bias", 0.0)),
         )
 
+    def on(self, prefix: str) -> "RuleModel":
+        """The same model over columns with a prefix."""
+        moved = [Rule(prefix + r.feature, r.op, r.value, r.weight) for r in self.rules]
+        return RuleModel(moved, self.aggregation, self.clip, self.bias)
+
     def missing_features(self, df: DataFrame) -> list[str]:
         return sorted({r.feature for r in self.rules} - set(df.columns))
 
