@@ -5,6 +5,8 @@ Each adapter is a projection of whole tables; adapters_sql holds the same projec
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsight.functions.codec import to_base64url
@@ -17,10 +19,19 @@ CENTURY = 100 * 365 * 86400.0
 FIRST_MOMENT_US = 1_700_000_000_000_000
 
 
+Reader = Callable[[SparkSession, str, str], DataFrame]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def _packets(
     us: Column, seq: Column, outbound: Column, client_ip: Column, client_port: Column, length: Column,
     server_port: Column,
@@ -34,9 +45,9 @@ def _packets(
     ]
 
 
-def event_packets(spark: SparkSession, folder: str) -> DataFrame:
+def event_packets(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Events as packets of one client per user; clicks and views go out, the rest come in."""
-    events = table(spark, folder, "events")
+    events = read(spark, folder, "events")
     user = F.col("user_id")
     return events.select(*_packets(
         F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"),
@@ -88,9 +99,9 @@ def _chunk_names(documents: DataFrame, encoded: Column) -> DataFrame:
     )
 
 
-def document_queries(spark: SparkSession, folder: str) -> DataFrame:
+def document_queries(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Every document sent as base64url chunk names, one session per document."""
-    documents = table(spark, folder, "documents")
+    documents = read(spark, folder, "documents")
     return _chunk_names(documents, to_base64url(F.encode("text", "utf-8"))).select("ts", "src_ip", "qname", "seq")
 
 
