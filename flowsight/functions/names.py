@@ -60,6 +60,7 @@ def chunk_fields(qname: Column) -> dict[str, Column]:
     """
     part = F.split(first_label(qname), "-", 4)
     return {
-        "session_id": part[0], "idx": _whole_number(part[1]), "total": _whole_number(part[2]),
+        # Never NULL here; saying so keeps the plans of joined branches alike.
+        "session_id": F.coalesce(part[0], F.lit("")), "idx": _whole_number(part[1]), "total": _whole_number(part[2]),
         "chunk": F.substring_index(part[3], "\n", 1),
     }

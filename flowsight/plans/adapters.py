@@ -26,6 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a table lies in fewer files than that, ahead of work that multiplies them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The same table as a file stream."""
     schema = table(spark, folder, name).schema
@@ -101,13 +109,13 @@ def _chunk_names(documents: DataFrame, encoded: Column) -> DataFrame:
 
 def document_queries(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Every document sent as base64url chunk names, one session per document."""
-    documents = read(spark, folder, "documents")
+    documents = spread(read(spark, folder, "documents"), "doc_id")
     return _chunk_names(documents, to_base64url(F.encode("text", "utf-8"))).select("ts", "src_ip", "qname", "seq")
 
 
 def encoded_queries(spark: SparkSession, folder: str) -> DataFrame:
     """As document_queries, in hex for English and base64url for other documents."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"), "doc_id")
     data = F.encode("text", "utf-8")
     encoded = F.when(F.col("lang") == "en", F.lower(F.hex(data))).otherwise(to_base64url(data))
     return _chunk_names(documents, encoded).select("ts", "src_ip", "qname", "seq")
@@ -116,7 +124,7 @@ def encoded_queries(spark: SparkSession, folder: str) -> DataFrame:
 def damaged_queries(spark: SparkSession, folder: str) -> DataFrame:
     """As document_queries, with German documents missing index 1 and French ones sending index 0 twice,
     first with a wrong chunk."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"), "doc_id")
     names = _chunk_names(documents, to_base64url(F.encode("text", "utf-8")))
     kept = names.where(~((F.col("lang") == "de") & (F.col("idx") == 1)))
     early = names.where((F.col("lang") == "fr") & (F.col("idx") == 0)).withColumns({
