@@ -97,7 +97,9 @@ def _lenient_base64(text: Column, added_pads: Column) -> Column:
     whole_spare = F.length(whole) % 4
     trailing = F.length(clean) - F.length(_strip_padding(clean)) + added_pads
     enough = (whole_spare == 0) | ((whole_spare >= 2) & (trailing + whole_spare >= 4))
-    return F.when(ends_at_first_pad, decode_base64(head)).when(enough, decode_base64(whole))
+    decoded = F.when(ends_at_first_pad, decode_base64(head)).when(enough, decode_base64(whole))
+    # Text beyond ASCII is refused as a whole, not skipped.
+    return F.when(~text.rlike("[^\\x00-\\x7F]"), decoded)
 
 
 def decode_cascade(text: Column) -> Column:

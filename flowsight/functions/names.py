@@ -58,7 +58,8 @@ def chunk_fields(qname: Column) -> dict[str, Column]:
 
     The first three parts hold digits only, so the label splits at its first three dashes.
     """
-    part = F.split(first_label(qname), "-", 4)
+    parts = F.split(first_label(qname), "-", 4)
+    part = [F.get(parts, F.lit(i)) for i in range(4)]
     return {
         # Never NULL here; saying so keeps the plans of joined branches alike.
         "session_id": F.coalesce(part[0], F.lit("")), "idx": _whole_number(part[1]), "total": _whole_number(part[2]),

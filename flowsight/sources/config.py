@@ -21,7 +21,7 @@ TIMING_PATTERNS = ("regular", "random", "burst", "stealth")
 
 def whole_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(path, value): one row per file, for configuration files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), "value")
 
 

@@ -31,7 +31,6 @@ def log_files(spark: SparkSession, path: str, pattern: str = "predictor_*.log")
 def read_run_logs(spark: SparkSession, path: str, pattern: str = "predictor_*.log") -> DataFrame:
     """Log lines; a log is a short report and is read as one text to number its lines."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     )
     return number_lines(files.select(F.col("_metadata.file_path").alias("path"), "value"))

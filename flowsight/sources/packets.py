@@ -24,26 +24,26 @@ def parse_packet_sequences(files: DataFrame) -> DataFrame:
     parsed = files.withColumns({
         "_sessions": F.from_json("value", _SESSIONS), "_lists": F.from_json("value", _LISTS),
     })
-    as_object = text.rlike(r"^\[\s*\{") & F.col("_sessions")[0].isNotNull()
+    as_object = text.rlike(r"^\[\s*\{") & F.get("_sessions", F.lit(0)).isNotNull()
     has_features = as_object & F.get_json_object("value", "$[0].features").isNotNull()
     as_list = text.rlike(r"^\[\s*\[\s*\[")
     empty = F.coalesce(text == "", F.lit(True)) | text.rlike(r"^(\[\s*\]|\{\s*\}|null)$")
-    features = F.when(has_features, F.col("_sessions")[0]["features"]).when(as_list, F.col("_lists")[0])
-    meta = F.when(has_features, F.col("_sessions")[0]["meta"])
+    features = F.when(has_features, F.get("_sessions", F.lit(0))["features"]).when(as_list, F.get("_lists", F.lit(0)))
+    meta = F.when(has_features, F.get("_sessions", F.lit(0))["meta"])
     error = F.when(empty, EMPTY_FILE).when(~(has_features | as_list), UNSUPPORTED)
     sessions = parsed.select(
         "file", F.coalesce(meta["src_ip"], F.lit("unknown")).alias("src_ip"),
         F.coalesce(meta["dst_ip"], F.lit("unknown")).alias("dst_ip"), features.alias("features"), error.alias("error"),
     )
     return sessions.select("file", "src_ip", "dst_ip", "error", F.posexplode_outer("features").alias("pos", "packet")).select(
-        "file", "src_ip", "dst_ip", "pos", to_number(F.col("packet")[0]).alias("ts"),
-        to_number(F.col("packet")[2]).alias("size"), "error"
+        "file", "src_ip", "dst_ip", "pos", to_number(F.get("packet", F.lit(0))).alias("ts"),
+        to_number(F.get("packet", F.lit(2))).alias("size"), "error"
     )
 
 
 def read_packet_sequences(spark: SparkSession, path: str) -> DataFrame:
     """Every .json file of a folder; a file is one session and is parsed as one text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return parse_packet_sequences(
         files.select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), "value")
     )
