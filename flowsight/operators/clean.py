@@ -40,7 +40,10 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 
 def known_labels(df: DataFrame, label: str = LABEL, name: str = "label") -> DataFrame:
-    """Keep rows labelled Benign or Malicious and add the code 0 or 1."""
+    """Keep rows labelled Benign or Malicious and add the code 0 or 1.
+
+    Column names ignore case, so by default the code takes the place of Label.
+    """
     code = F.lit(None).cast("int")
     for value, number in LABEL_CODES.items():
         code = F.when(F.col(label) == value, F.lit(number)).otherwise(code)

@@ -164,7 +164,7 @@ def embedding_scores(spark: SparkSession, folder: str) -> DataFrame:
     """(id, p, label): the first element as a score, odd labels as malicious."""
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.round(F.col("embedding")[0].cast("double"), 3).alias("p"), (F.col("label") % 2).alias("label"),
+        (F.round(F.col("embedding")[0].cast("double"), 3) + F.lit(0.0)).alias("p"), (F.col("label") % 2).alias("label"),
     )
 
 

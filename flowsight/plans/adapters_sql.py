@@ -189,7 +189,7 @@ http AS (
 
 SCORES = """
 scores AS (
-  SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 3) AS p, label % 2 AS label FROM embeddings
+  SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 3) + 0.0 AS p, label % 2 AS label FROM embeddings
 )"""
 
 MODELS = """

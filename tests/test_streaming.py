@@ -1,0 +1,51 @@
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import functions as F
+
+from flowsight.plans.live import finish, run_to_table, work_folder
+from flowsight.operators.meter import meter
+from flowsight.streaming.meter import stream_meter, write_batches
+from flowsight.streaming.reassemble import stream_reassemble, use_disk_state
+
+START = datetime(2025, 1, 1, tzinfo=timezone.utc)
+
+
+def stored(spark, folder, name, rows, schema, files=1):
+    """Rows in one file per slice, so that a stream can take them one file at a time."""
+    frame = spark.createDataFrame(rows, schema)
+    path = f"{folder}/{name}"
+    step = -(-len(rows) // files)
+    for i in range(files):
+        part = spark.createDataFrame(rows[i * step:(i + 1) * step], schema)
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream, path
+
+
+def test_sessions_complete_once_and_expire(spark, tmp_path):
+    use_disk_state(spark)
+    names = ["1-0-2-aGVs.exfill.local", "1-0-2-aGVs.exfill.local", "2-0-3-AAAA.exfill.local", "1-1-2-bG8.exfill.local", "plain.example.com"]
+    rows = [(START + timedelta(seconds=i), "a", n, i) for i, n in enumerate(names)]
+    # Much later traffic moves the watermark past the timeout of session 2.
+    rows += [(START + timedelta(seconds=2000 + i), "b", "9-0-5-AAAA.exfill.local", 10 + i) for i in range(2)]
+    stream, _ = stored(spark, tmp_path, "q", rows, "ts timestamp, src_ip string, qname string, seq long", files=4)
+    got = {(r.session_id, r.complete): r for r in run_to_table(stream_reassemble(stream)).collect()}
+    assert bytes(got[("1", True)].payload) == b"hello" and got[("1", True)].encoding == "base64url"
+    assert (got[("2", False)].received, got[("2", False)].total) == (1, 3)
+    assert ("9", False) not in got and ("2", True) not in got
+
+
+def test_closed_conversations_equal_the_batch(spark, tmp_path):
+    rows = []
+    for i in range(60):
+        at = START + timedelta(seconds=i * 2 + (100 if i >= 30 else 0))
+        out = i % 3 != 0
+        rows.append((at, "c" if out else "s", "s" if out else "c", 5000 if out else 443, 443 if out else 5000, 40 + i % 7, i))
+    rows.append((START + timedelta(seconds=5000), "x", "y", 1, 2, 10, 99))
+    schema = "ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, length long, seq long"
+    stream, path = stored(spark, tmp_path, "p", rows, schema, files=3)
+    folder = work_folder(spark)
+    finish(stream_meter(stream, lambda: spark.read.parquet(path), write_batches(f"{folder}/flows"), 20, lateness="0 seconds"), folder)
+    live = spark.read.parquet(f"{folder}/flows").drop("batch").orderBy("flow_id").collect()
+    batch = meter(spark.createDataFrame(rows, schema), 20).where(F.col("SourceIP") != "x").orderBy("flow_id").collect()
+    assert len(live) == 2 and [r.asDict() for r in live] == [r.asDict() for r in batch]
