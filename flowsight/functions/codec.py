@@ -98,8 +98,10 @@ def _lenient_base64(text: Column, added_pads: Column) -> Column:
     trailing = F.length(clean) - F.length(_strip_padding(clean)) + added_pads
     enough = (whole_spare == 0) | ((whole_spare >= 2) & (trailing + whole_spare >= 4))
     decoded = F.when(ends_at_first_pad, decode_base64(head)).when(enough, decode_base64(whole))
-    # Text beyond ASCII is refused as a whole, not skipped.
-    return F.when(~text.rlike("[^\\x00-\\x7F]"), decoded)
+    # Text beyond ASCII is refused as a whole, not skipped. Most texts need no cleaning at all.
+    return F.when(text.rlike("^[A-Za-z0-9+/]*$"), decode_base64(text)).when(
+        ~text.rlike("[^\\x00-\\x7F]"), decoded
+    )
 
 
 def decode_cascade(text: Column) -> Column:
@@ -120,11 +122,11 @@ def decode_cascade(text: Column) -> Column:
         core32.rlike("^[A-Z2-7]*$") & pad_count.isin(0, 1, 3, 4, 6), decode_base32(core32)
     )
     hexadecimal = F.when(padded8.rlike("^[0-9A-Fa-f]+$"), decode_hex(padded8))
-    result = lambda payload, name: F.struct(payload.alias("payload"), F.lit(name).alias("encoding"))
-    return (
-        F.when(url_safe.isNotNull(), result(url_safe, "base64url"))
-        .when(standard.isNotNull(), result(standard, "base64"))
-        .when(base32.isNotNull(), result(base32, "base32"))
-        .when(hexadecimal.isNotNull(), result(hexadecimal, "hex"))
-        .otherwise(result(F.encode(padded8, "utf-8"), "raw"))
+    # Going through a one-element array evaluates an attempt once for both its test and its result.
+    attempt = lambda payload, name: F.get(F.transform(F.array(payload), lambda p: F.when(
+        p.isNotNull(), F.struct(p.alias("payload"), F.lit(name).alias("encoding"))
+    )), F.lit(0))
+    return F.coalesce(
+        attempt(url_safe, "base64url"), attempt(standard, "base64"), attempt(base32, "base32"),
+        attempt(hexadecimal, "hex"), attempt(F.encode(padded8, "utf-8"), "raw"),
     )
