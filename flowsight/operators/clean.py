@@ -8,6 +8,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from flowsight.functions.numeric import inf_to_null, nan_to_null, numbers
+from flowsight.runtime import cut_lineage
 from flowsight.schema import FEATURES, LABEL
 
 # The two labels and their codes.
@@ -130,5 +131,9 @@ def fill(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
 
 
 def impute(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Fill missing features with the medians of the table itself."""
-    return fill(df, fit_medians(df, features))
+    """Fill missing features with the medians of the table itself.
+
+    Medians take several passes, so the rows are written to the checkpoint folder first.
+    """
+    stored = cut_lineage(df)
+    return fill(stored, fit_medians(stored, features))
