@@ -28,7 +28,8 @@ def test_flow_csv(spark, tmp_path):
     scoring = flows.read_for_scoring(spark, str(tmp_path / "a.csv"))
     assert scoring.columns == FEATURES
     nested = flows.read_flows(spark, str(tmp_path), recursive=True)
-    assert {r.source_file.rsplit("/", 1)[1] for r in nested.collect()} == {"a.csv", "b.csv", "c.csv"}
+    found = {(r.source_file.rsplit("/", 1)[1], r.Duration, r.SourceIP) for r in nested.collect()}
+    assert found == {("a.csv", 1.5, "10.0.0.1"), ("a.csv", None, "10.0.0.3"), ("b.csv", 7.0, None), ("c.csv", 1.0, "10.9.9.9")}
 
 
 def test_packet_sequences(spark, tmp_path):
