@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsight.llm.common import documents
+from flowsight.llm.packing import pack
 from flowsight.llm.simhash import near_duplicates
 from flowsight.llm.substrings import remove_repeats
+from flowsight.llm.tokens import vocabulary
+from flowsight.llm.wavelet import read_shards, write_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +31,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir), digest_only=True)
     return found.withColumnRenamed("kept", "kept_sha256")
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), path=vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
