@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsight.llm.common import documents
+from flowsight.llm.language import identify, is_held_out, labelled_samples
 from flowsight.llm.packing import pack
 from flowsight.llm.simhash import near_duplicates
+from flowsight.llm.sketches import fingerprints
 from flowsight.llm.substrings import remove_repeats
 from flowsight.llm.tokens import vocabulary
 from flowsight.llm.wavelet import read_shards, write_shards
@@ -41,3 +43,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    read = docs.select("doc_id", is_held_out(docs["doc_id"]).alias("held_out"), "text")
+    return identify(read, labelled_samples(docs), keep=["doc_id", "held_out"])
+
+
+@query
+def op10_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
