@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from flowsight.llm.common import documents
 from flowsight.llm.language import identify, is_held_out, labelled_samples
 from flowsight.llm.packing import pack
+from flowsight.llm.secrets import scan
+from flowsight.llm.sharding import shard_documents
 from flowsight.llm.simhash import near_duplicates
 from flowsight.llm.sketches import fingerprints
 from flowsight.llm.substrings import remove_repeats
@@ -55,3 +57,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir), keep=["doc_id"])
+
+
+@query
+def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir), shards=24)
