@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowsight.llm.common import documents
 from flowsight.llm.language import identify, is_held_out, labelled_samples
+from flowsight.llm.leaks import find_leaks
 from flowsight.llm.packing import pack
 from flowsight.llm.secrets import scan
 from flowsight.llm.sharding import shard_documents
@@ -67,3 +68,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=24)
+
+
+@query
+def op8_semantic_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
