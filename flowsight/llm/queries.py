@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsight.llm.chat import rotate
 from flowsight.llm.common import documents
 from flowsight.llm.language import identify, is_held_out, labelled_samples
 from flowsight.llm.leaks import find_leaks
@@ -60,6 +61,34 @@ def op10_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+@query
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+SQL["op2_perspective_rotation"] = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body, turn // 256 AS block FROM conversations
+), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns),
+seen AS (
+  SELECT t.*, perspective, speaker = perspective AS own,
+    CASE WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || speaker || '|>' END AS head
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id, perspective ORDER BY block) - 1 AS part,
+    coalesce(sum(length(head) + length(body) + 8) OVER (
+      PARTITION BY conv_id, perspective ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM seen
+)
+SELECT conv_id, perspective, CAST(part AS INTEGER) AS part, CAST(min(place) AS BIGINT) AS start,
+  string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn, speaker, body) AS text,
+  count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+  coalesce(string_agg(CAST(place + length(head) AS VARCHAR) || ':' || CAST(place + length(head) + length(body) + 7 AS VARCHAR),
+    ',' ORDER BY place) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), keep=["doc_id"])
