@@ -52,21 +52,30 @@ def _filled(lengths: np.ndarray, choice: np.ndarray, chosen: np.ndarray, capacit
 
 
 def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = STEPS) -> Counter:
-    """A fractional cover of the histogram: configurations (places in lengths) with their amounts."""
+    """A fractional cover of the histogram: configurations (places in lengths) with their amounts.
+
+    Prices start at the share of a sequence that a length takes, which is what a full sequence is worth per token, and
+    fall with the share of the length that is covered. No length is covered twice over, so a part may stay uncovered.
+    """
     total = float((lengths * counts).sum()) / capacity
-    covered, amounts = np.zeros(len(lengths)), Counter()
+    need, amounts = counts.astype(np.float64), Counter()
     for _ in range(steps):
-        # The price of a piece of a length: the weight of its constraint over the number of pieces asked for.
-        weights = np.exp(-SHARPNESS * (covered - covered.min())) / counts
-        value, choice = _knapsack(lengths, weights, capacity)
-        worth = weights + value[capacity - lengths]
-        chosen = np.flatnonzero(worth >= NEAR_BEST * worth.max())
-        share = weights[chosen] * counts[chosen]
+        covered = 1.0 - need / counts
+        prices = np.where(need > 1e-9, lengths / capacity * np.exp(-SHARPNESS * (covered - covered.min())), 0.0)
+        value, choice = _knapsack(lengths, prices, capacity)
+        worth = prices + value[capacity - lengths]
+        chosen = np.flatnonzero((worth >= NEAR_BEST * worth.max()) & (need > 1e-9))
+        share = need[chosen] * lengths[chosen]
         share *= total / steps / share.sum()
         for places, amount in zip(_filled(lengths, choice, chosen, capacity), share.tolist()):
-            amounts[places] += amount
-            for place in places:
-                covered[place] += amount / counts[place]
+            times = Counter(places)
+            amount = min(amount, *(need[place] / n for place, n in times.items()))
+            if amount > 1e-9:
+                amounts[places] += amount
+                for place, n in times.items():
+                    need[place] -= n * amount
+        if need.max() <= 1e-9:
+            break
     return amounts
 
 
