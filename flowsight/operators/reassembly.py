@@ -3,12 +3,17 @@
 A session may hold any share of the chunks. Chunks are combined per (session, index) before anything
 meets, then joined in blocks of a fixed number of indexes. A payload longer than PIECE_CHARS is
 returned in aligned pieces, one row each, whose bytes in order are the payload; no row holds more.
+
+A session id can carry several transfers one after the other: a transfer ends when the chunks seen are exactly those
+its first chunk announced, and what follows under the same id is the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsight.functions.codec import alphabet_flags, choose_alphabet, decode_as, decode_cascade
@@ -16,6 +21,7 @@ from flowsight.functions.names import KEYWORDS, chunk_fields, has_parent, is_chu
 from flowsight.functions.numeric import epoch_us
 from flowsight.functions.signatures import file_type
 from flowsight.operators.ordered import shared
+from flowsight.runtime import cut_lineage
 
 BLOCK_CHUNKS = 4096
 # A multiple of 8 characters, so pieces decode on their own in every alphabet.
@@ -45,6 +51,8 @@ def session_keys(key: str) -> list[str]:
 
 
 def _arrival(df: DataFrame) -> DataFrame:
+    if "us" in df.columns:
+        return df
     seq = F.col("seq").cast("bigint") if "seq" in df.columns else F.lit(0).cast("bigint")
     return df.withColumns({
         "src_ip": F.coalesce(F.col("src_ip"), F.lit("unknown")),
@@ -52,10 +60,62 @@ def _arrival(df: DataFrame) -> DataFrame:
     })
 
 
-def latest_chunks(chunks: DataFrame, key: str = "source") -> DataFrame:
-    """One row per session and index: the chunk that arrived last, and the first arrival with its total."""
+def _finished(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sessions whose first transfer ended before their last chunk came: (keys, ended), ended an arrival (us, seq)."""
+    arrival = F.struct("us", "seq")
+    first = rows.groupBy(*keys, "idx").agg(
+        F.min(F.struct("us", "seq", "total")).alias("first"), F.max(arrival).alias("last")
+    )
+    came = F.struct(F.col("first.us").alias("us"), F.col("first.seq").alias("seq"))
+    sessions = first.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max("idx").alias("max_idx"), F.min("first").alias("start"),
+        F.max(came).alias("whole"), F.max("last").alias("last"),
+    ).withColumn("total", F.col("start.total"))
+    clean = (F.col("n") == F.col("total")) & (F.col("max_idx") == F.col("total") - 1)
+    plain = sessions.where(clean & (F.col("last") > F.col("whole"))).select(*keys, F.col("whole").alias("ended"))
+    # Where indexes outside the announced ones came too, they must have come after the transfer was whole. Only sessions
+    # that could be whole are looked at, which are stored so that Spark knows how few they are.
+    strange = cut_lineage(sessions.where(
+        (F.col("n") > F.col("total")) & (F.col("max_idx") >= F.col("total")) & (F.col("total") > 0)
+    ).select(*keys, "total"))
+    inside = F.col("idx") < F.col("total")
+    judged = first.join(strange, keys).groupBy(*keys, "total").agg(
+        F.count_if(inside).alias("n"), F.max(F.when(inside, came)).alias("whole"), F.min(F.when(~inside, came)).alias("stray"),
+    )
+    late = judged.where((F.col("n") == F.col("total")) & (F.col("stray") > F.col("whole")))
+    return plain.unionByName(late.select(*keys, F.col("whole").alias("ended")))
+
+
+def split_transfers(chunks: DataFrame, key: str = "source") -> DataFrame:
+    """Chunks with us, seq and transfer, the number (from 0) of their transfer in the session.
+
+    One round of aggregates over first arrivals per index finds the end of the first transfer of every session; only
+    chunks that came later, in sessions that have such, go into the next round.
+    """
+    keys = session_keys(key)
+    rows, settled, number = _arrival(chunks), None, 0
+    while True:
+        ended = cut_lineage(_finished(rows, keys))
+        more = not ended.isEmpty()
+        here = rows
+        if more:
+            later = F.struct("us", "seq") > F.col("ended")
+            here = rows.join(ended, keys, "left").where(F.col("ended").isNull() | ~later).drop("ended")
+        here = here.withColumn("transfer", F.lit(number))
+        settled = here if settled is None else settled.unionByName(here)
+        if not more:
+            return settled
+        rows, number = cut_lineage(rows.join(ended, keys).where(later).drop("ended")), number + 1
+
+
+def transfer_keys(key: str) -> list[str]:
+    return [*session_keys(key), "transfer"]
+
+
+def latest_chunks(chunks: DataFrame, key: str = "source", keys: list[str] | None = None) -> DataFrame:
+    """One row per session (or other keys) and index: the chunk that arrived last, and the first arrival with its total."""
     arrival = F.struct("us", "seq")
-    latest = _arrival(chunks).groupBy(*session_keys(key), "idx").agg(
+    latest = _arrival(chunks).groupBy(*(keys or session_keys(key)), "idx").agg(
         F.max_by("chunk", arrival).alias("chunk"),
         F.min(F.struct("us", "seq", "total")).alias("first"),
         F.max("us").alias("last_us"),
@@ -64,11 +124,11 @@ def latest_chunks(chunks: DataFrame, key: str = "source") -> DataFrame:
     return shared(latest, "chunk", "first", "last_us", "arrivals")
 
 
-def _blocks(chunks: DataFrame, key: str) -> DataFrame:
+def _blocks(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Chunks joined in index order per block of BLOCK_CHUNKS indexes."""
-    latest = latest_chunks(chunks, key).withColumn("block", F.floor(F.col("idx") / BLOCK_CHUNKS))
+    latest = latest_chunks(chunks, keys=keys).withColumn("block", F.floor(F.col("idx") / BLOCK_CHUNKS))
     ordered = F.sort_array(F.collect_list(F.struct("idx", "chunk")))
-    blocks = latest.groupBy(*session_keys(key), "block").agg(
+    blocks = latest.groupBy(*keys, "block").agg(
         F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("text"),
         F.sum(F.lit(1)).alias("n"), F.max("idx").alias("max_idx"), F.min("first").alias("first"),
     )
@@ -79,11 +139,11 @@ def _core_length(text: Column) -> Column:
     return F.length(F.rtrim(text, F.lit("=")))
 
 
-def _complete_sessions(blocks: DataFrame, key: str) -> DataFrame:
-    """Sessions with every index 0..total-1 and no other, total being that of the first chunk seen."""
+def _complete_sessions(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Transfers with every index 0..total-1 and no other, total being that of the first chunk seen."""
     flags = alphabet_flags(F.col("text"))
     blocks = blocks.withColumns({f"_{name}": flag for name, flag in flags.items()})
-    sessions = blocks.groupBy(*session_keys(key)).agg(
+    sessions = blocks.groupBy(*keys).agg(
         F.sum("n").alias("chunks"), F.max("max_idx").alias("max_idx"), F.min("first").alias("first"),
         F.sum(F.length("text")).alias("chars"), F.sum(_core_length(F.col("text"))).alias("core_chars"),
         *[F.bool_and(f"_{name}").alias(name) for name in flags],
@@ -92,7 +152,7 @@ def _complete_sessions(blocks: DataFrame, key: str) -> DataFrame:
     complete = (F.col("chunks") == total) & (F.col("max_idx") == total - 1)
     alphabet = choose_alphabet({name: F.col(name) for name in flags}, F.col("core_chars"))
     return sessions.where(complete).select(
-        *session_keys(key), "chunks", "chars", F.col("first.us").alias("started_us"), alphabet.alias("alphabet")
+        *keys, "chunks", "chars", F.col("first.us").alias("started_us"), alphabet.alias("alphabet")
     )
 
 
@@ -122,18 +182,23 @@ def _long_texts(blocks: DataFrame, keys: list[str], piece_chars: int) -> DataFra
 
 
 def session_texts(
-    events: DataFrame, key: str = "source", keywords: Sequence[str] = KEYWORDS, piece_chars: int = PIECE_CHARS
+    events: DataFrame, key: str = "source", keywords: Sequence[str] = KEYWORDS, piece_chars: int | None = PIECE_CHARS
 ) -> DataFrame:
-    """Text of every complete session: one row, or one row per piece of piece_chars characters."""
-    if piece_chars % 8:
+    """Text of every complete transfer: one row, or one row per piece of piece_chars characters (None: never cut)."""
+    if piece_chars is not None and piece_chars % 8:
         raise ValueError("piece_chars must be a multiple of 8")
-    keys = session_keys(key)
-    blocks = _blocks(parse_chunks(events, keywords), key)
-    sessions = _complete_sessions(blocks, key)
-    single = F.col("chars") <= piece_chars
-    one_block = F.col("chunks") <= BLOCK_CHUNKS
+    keys = transfer_keys(key)
+    blocks = _blocks(split_transfers(parse_chunks(events, keywords), key), keys)
+    sessions = _complete_sessions(blocks, keys)
     columns = [*keys, "chunks", "chars", "started_us", "alphabet"]
     texts = blocks.select(*keys, "block", "text")
+    if piece_chars is None:
+        ordered = F.sort_array(F.collect_list(F.struct("block", "text")))
+        return texts.join(sessions, keys).groupBy(*columns).agg(
+            F.array_join(F.transform(ordered, lambda b: b["text"]), "").alias("text")
+        ).select(*columns, F.lit(0).cast("bigint").alias("piece"), "text")
+    single = F.col("chars") <= piece_chars
+    one_block = F.col("chunks") <= BLOCK_CHUNKS
     short = texts.join(sessions.where(single & one_block), keys)
     short = short.select(*columns, F.lit(0).cast("bigint").alias("piece"), "text")
     long = _long_texts(texts.join(sessions.where(~(single & one_block)), keys), keys, piece_chars)
@@ -147,48 +212,65 @@ def reassemble(
     keywords: Sequence[str] = KEYWORDS,
     piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
-    """Payloads of complete sessions: (keys, chunks, started_us, piece, pieces, encoding, payload).
+    """Payloads of complete transfers: (keys, transfer, chunks, started_us, piece, pieces, encoding, payload).
 
-    decode_mode "alphabet" picks the decoder by the characters of the whole session; "cascade" tries base64
-    first whatever the text. The cascade looks at a text as a whole, so it applies piece by piece only
-    where a session is longer than piece_chars.
+    decode_mode "alphabet" picks the decoder by the characters of the whole transfer, and every piece decodes by it on its
+    own. "cascade" tries base64 first whatever the text. It skips foreign characters, so where a byte starts depends on
+    all the text before it: in this mode a transfer is never cut and its text must fit a row.
     """
-    texts = session_texts(events, key, keywords, piece_chars)
-    pieces = F.greatest(F.ceil(F.col("chars") / piece_chars), F.lit(1)).cast("bigint")
-    if decode_mode == "alphabet":
-        decoded = F.struct(
-            decode_as(F.col("text"), F.col("alphabet")).alias("payload"), F.col("alphabet").alias("encoding")
-        )
-    elif decode_mode == "cascade":
-        decoded = decode_cascade(F.col("text"))
-    else:
+    if decode_mode not in ("alphabet", "cascade"):
         raise ValueError(f"unknown decode mode: {decode_mode}")
+    cascade = decode_mode == "cascade"
+    texts = session_texts(events, key, keywords, None if cascade else piece_chars)
+    pieces = F.lit(1) if cascade else F.greatest(F.ceil(F.col("chars") / piece_chars), F.lit(1))
+    decoded = decode_cascade(F.col("text")) if cascade else F.struct(
+        decode_as(F.col("text"), F.col("alphabet")).alias("payload"), F.col("alphabet").alias("encoding")
+    )
     return texts.withColumn("_d", decoded).select(
-        *session_keys(key), "chunks", "started_us", "piece", pieces.alias("pieces"), "_d.encoding", "_d.payload"
+        *transfer_keys(key), "chunks", "started_us", "piece", pieces.cast("bigint").alias("pieces"), "_d.encoding", "_d.payload"
     )
 
 
-def identify(payloads: DataFrame, key: str = "source") -> DataFrame:
-    """One row per session: size, type, extension and digest.
+def _digest_in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """SHA-256 over the payloads of each group of rows in the order of piece, one piece in memory at a time."""
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.select(*keys).schema)}, digest string"
 
-    The digest is the SHA-256 of the payload; of a payload in pieces, that of the digests of its pieces in
-    order, which does not depend on how the payload was chunked.
-    """
-    kinds = payloads.select(
-        *session_keys(key), "piece", "pieces", "encoding", F.length("payload").cast("bigint").alias("bytes"),
-        F.when(F.col("piece") == 0, file_type(F.col("payload"))).alias("kind"),
-        F.sha2("payload", 256).alias("digest"),
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("piece", "digest")))
-    joined = F.array_join(F.transform(ordered, lambda p: p["digest"]), "")
-    grouped = kinds.groupBy(*session_keys(key)).agg(
-        F.sum("bytes").alias("size"), F.max("encoding").alias("encoding"), F.max("kind").alias("kind"),
-        F.max("pieces").alias("pieces"), F.max("digest").alias("single"), joined.alias("digests"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for *group, payload in zip(*(batch[k].to_pylist() for k in keys), batch["payload"].to_pylist()):
+                if group != current:
+                    if current is not None:
+                        out.append((*current, state.hexdigest()))
+                    current, state = group, hashlib.sha256()
+                state.update(payload or b"")
+            if out:
+                yield _as_batch(out, batch)
+        if current is not None:
+            yield _as_batch([(*current, state.hexdigest())], batch)
+
+    def _as_batch(out: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = [like.schema.field(k).type for k in keys] + [pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [*keys, "digest"])
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "piece").select(*keys, "payload")
+    return ordered.mapInArrow(run, schema)
+
+
+def identify(payloads: DataFrame, key: str = "source") -> DataFrame:
+    """One row per transfer: size, type, extension and payload_id, the SHA-256 of the whole payload whatever its size."""
+    keys = transfer_keys(key)
+    about = payloads.groupBy(*keys).agg(
+        F.sum(F.length("payload").cast("bigint")).alias("size"), F.max("encoding").alias("encoding"),
+        F.max(F.when(F.col("piece") == 0, file_type(F.col("payload")))).alias("kind"), F.max("pieces").alias("pieces"),
+        F.max(F.when(F.col("pieces") == 1, F.sha2("payload", 256))).alias("single"),
     )
-    digest = F.when(F.col("pieces") == 1, F.col("single")).otherwise(F.sha2("digests", 256))
-    return grouped.select(
-        *session_keys(key), "size", "encoding", F.col("kind.type").alias("type"),
-        F.col("kind.extension").alias("extension"), digest.alias("payload_id"), "pieces",
+    # Digests of payloads in pieces are taken in order, a piece at a time.
+    long = _digest_in_order(payloads.where("pieces > 1").select(*keys, "piece", "payload"), keys)
+    return about.join(long, keys, "left").select(
+        *keys, "size", "encoding", F.col("kind.type").alias("type"), F.col("kind.extension").alias("extension"),
+        F.coalesce("single", "digest").alias("payload_id"), "pieces",
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowsight.functions.codec import to_base64url
 from flowsight.operators.meter import meter
 from flowsight.operators.metrics import CLASS_NAMES
+from flowsight.operators.ordered import running_totals
 
 CHUNK_CHARS = 30
 HALF_DAY = 12 * 3600.0
@@ -134,6 +135,33 @@ def damaged_queries(spark: SparkSession, folder: str) -> DataFrame:
     return kept.unionByName(early).select("ts", "src_ip", "qname", "seq")
 
 
+def repeated_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document sent twice under one session id, the second time backwards and in another encoding."""
+    documents = spread(table(spark, folder, "documents"), "doc_id").where(F.octet_length("text") > 0)
+    once = _chunk_names(documents, to_base64url(F.encode("text", "utf-8")))
+    hours = lambda n: F.timestamp_micros(F.unix_micros("ts") + n * 3_600_000_000)
+    again = _chunk_names(documents, F.lower(F.hex(F.encode(F.reverse("text"), "utf-8")))).withColumn("ts", hours(2))
+    return once.unionByName(again).select("ts", "src_ip", "qname", "seq")
+
+
+def joined_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents of a language as one hex transfer under the session id 7, in the order of doc_id."""
+    documents = spread(table(spark, folder, "documents"), "doc_id").where(F.octet_length("text") > 0)
+    counted = documents.select(
+        "doc_id", "lang", F.ceil(F.octet_length("text") * 2 / F.lit(CHUNK_CHARS)).cast("bigint").alias("n")
+    )
+    placed = running_totals(counted, "doc_id", ["n"], keys=["lang"]).select(
+        "doc_id", (F.col("cum_n") - F.col("n")).alias("first"), F.col("all_n").alias("total")
+    )
+    pieces = F.regexp_extract_all(F.lower(F.hex(F.encode("text", "utf-8"))), F.lit(".{1,%d}" % CHUNK_CHARS), F.lit(0))
+    chunks = documents.select("doc_id", "lang", F.posexplode(pieces).alias("at", "chunk")).join(placed, "doc_id")
+    idx = F.col("first") + F.col("at")
+    return chunks.select(
+        F.timestamp_micros(F.lit(FIRST_MOMENT_US) + idx * 1000).alias("ts"), F.concat(F.lit("10.2.0."), F.col("lang")).alias("src_ip"),
+        F.format_string("7-%04d-%04d-%s.exfill.local", idx, F.col("total"), F.col("chunk")).alias("qname"), idx.alias("seq"),
+    )
+
+
 def page_queries(spark: SparkSession, folder: str) -> DataFrame:
     """Look-ups of the hosts of pages."""
     pages = table(spark, folder, "pages")

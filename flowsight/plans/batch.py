@@ -424,7 +424,7 @@ def session_transfer_stats(spark, folder):
  FROM documents WHERE strlen(text) > 0""")
 def reassemble_sha(spark, folder):
     """Payloads put together from chunk names equal the documents they came from."""
-    return reassembly.identify(reassembly.reassemble(a.all_queries(spark, folder), piece_chars=1 << 24)).select("src_ip", "session_id", "size", "payload_id")
+    return reassembly.identify(reassembly.reassemble(a.all_queries(spark, folder))).select("src_ip", "session_id", "size", "payload_id")
 
 
 @query("reassemble_pieces", """SELECT '10.2.0.' || lang AS src_ip, CAST(doc_id AS VARCHAR) AS session_id, strlen(text) AS size,
@@ -435,17 +435,33 @@ def reassemble_pieces(spark, folder):
     return pieces.groupBy("src_ip", "session_id").agg(F.sum(F.length("payload").cast("bigint")).alias("size"), F.count(F.lit(1)).alias("pieces"))
 
 
+@query("payload_identity_long", """SELECT '10.2.0.' || lang AS src_ip, lang AS session, sum(strlen(text)) ::BIGINT AS size,
+ sha256(string_agg(text, '' ORDER BY doc_id)) AS payload_id FROM documents WHERE strlen(text) > 0 GROUP BY lang""")
+def payload_identity_long(spark, folder):
+    """All documents of a language as one transfer, far longer than a piece; the identity is that of the whole payload."""
+    found = reassembly.identify(reassembly.reassemble(a.joined_queries(spark, folder)))
+    return found.select("src_ip", F.substring("src_ip", 8, 10).alias("session"), "size", "payload_id")
+
+
+@query("reassemble_repeated_sessions", """SELECT '10.2.0.' || lang AS src_ip, CAST(doc_id AS VARCHAR) AS session_id, n AS transfer,
+ sha256(CASE n WHEN 0 THEN text ELSE reverse(text) END) AS payload_id FROM documents, range(2) r(n) WHERE strlen(text) > 0""")
+def reassemble_repeated_sessions(spark, folder):
+    """Each session id used for two transfers, one after the other."""
+    found = reassembly.identify(reassembly.reassemble(a.repeated_queries(spark, folder)))
+    return found.select("src_ip", "session_id", F.col("transfer").cast("bigint").alias("transfer"), "payload_id")
+
+
 @query("reassemble_last_write_wins", f"""WITH {q.DAMAGED_QUERIES}, {q.chunks('dns')}, {q.SESSIONS}
  SELECT src_ip, session_id, md5(txt) AS text_md5, length(txt) AS chars FROM sess WHERE received = total AND max_idx = total - 1""")
 def reassemble_last_write_wins(spark, folder):
-    texts = reassembly.session_texts(a.damaged_queries(spark, folder), piece_chars=1 << 24)
+    texts = reassembly.session_texts(a.damaged_queries(spark, folder), piece_chars=None)
     return texts.select("src_ip", "session_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
 
 
 @query("reassemble_by_session_id", f"""WITH {q.DAMAGED_QUERIES}, {q.chunks('dns')}, {q.SESSIONS}
  SELECT session_id, received AS chunks, first_us AS started_us FROM sess WHERE received = total AND max_idx = total - 1""")
 def reassemble_by_session_id(spark, folder):
-    found = reassembly.reassemble(a.damaged_queries(spark, folder), key="session", decode_mode="cascade", piece_chars=1 << 24)
+    found = reassembly.reassemble(a.damaged_queries(spark, folder), key="session", decode_mode="cascade")
     return found.select("session_id", "chunks", "started_us")
 
 
@@ -458,21 +474,21 @@ def payload_type(spark, folder):
 
 @query("payload_dedup", """SELECT sha256(text) AS payload_id, count(*) AS sessions, min(strlen(text)) AS size FROM documents WHERE strlen(text) > 0 GROUP BY 1""")
 def payload_dedup(spark, folder):
-    found = reassembly.identify(reassembly.reassemble(a.document_queries(spark, folder), piece_chars=1 << 24))
+    found = reassembly.identify(reassembly.reassemble(a.document_queries(spark, folder)))
     return reassembly.distinct_payloads(found).select("payload_id", "sessions", "size")
 
 
 @query("decode_by_alphabet", f"""SELECT '10.2.0.' || lang AS src_ip, CAST(doc_id AS VARCHAR) AS session_id,
  CASE WHEN lang = 'en' THEN 'hex' ELSE 'base64url' END AS encoding, sha256(text) AS payload_sha FROM documents WHERE strlen(text) > 0""")
 def decode_by_alphabet(spark, folder):
-    found = reassembly.reassemble(a.encoded_queries(spark, folder), piece_chars=1 << 24)
+    found = reassembly.reassemble(a.encoded_queries(spark, folder))
     return found.select("src_ip", "session_id", "encoding", F.sha2("payload", 256).alias("payload_sha"))
 
 
 @query("decode_cascade", f"""WITH {q.ENCODED_QUERIES}, {q.chunks('dns')}, {q.SESSIONS}
  SELECT src_ip, session_id, 'base64url' AS encoding, sha256({q.base64_payload('txt')}) AS payload_sha FROM sess WHERE length(txt) % 4 <> 1""")
 def decode_cascade(spark, folder):
-    found = reassembly.reassemble(a.encoded_queries(spark, folder), decode_mode="cascade", piece_chars=1 << 24)
+    found = reassembly.reassemble(a.encoded_queries(spark, folder), decode_mode="cascade")
     return found.where(F.col("encoding") == "base64url").select("src_ip", "session_id", "encoding", F.sha2("payload", 256).alias("payload_sha"))
 
 

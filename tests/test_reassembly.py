@@ -1,5 +1,6 @@
 import base64
 import contextlib
+import hashlib
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -55,15 +56,29 @@ def test_order_copies_and_gaps(spark):
     # The last chunk to arrive under an index wins.
     wrong = whole[1].rsplit("-", 1)[0] + "-AAAA.exfill.local"
     assert payloads(spark, [("a", n) for n in [wrong, *whole]]) == {("a", "7"): data}
-    # An index past the end keeps a session open, as does a total of zero.
-    assert payloads(spark, [("a", n) for n in [*whole, "7-0099-0010-AA.exfill.local"]]) == {}
+    # An index past the end keeps a transfer open, as does a total of zero; after the last chunk it opens the next one.
+    stray = "7-0099-0010-AA.exfill.local"
+    assert payloads(spark, [("a", n) for n in [whole[0], stray, *whole[1:]]]) == {}
+    assert payloads(spark, [("a", n) for n in [*whole, stray]]) == {("a", "7"): data}
     assert payloads(spark, [("a", "8-0000-0000-AAAA.exfill.local")]) == {}
-    # The first total seen counts.
-    assert payloads(spark, [("a", n) for n in [names("7", data, total=3)[0], *whole]]) == {}
+    # The first total seen counts: the transfer ends with the third chunk, and the rest opens one that stays open.
+    assert payloads(spark, [("a", n) for n in [names("7", data, total=3)[0], *whole]]) == {("a", "7"): data[:18]}
     late = names("7", data, total=3)[0]
     assert payloads(spark, [("a", n) for n in [*whole, late]]) == {("a", "7"): data}
 
 
+def test_transfers_one_after_the_other(spark):
+    texts = [b"first payload", b"the second one is longer than that", b"3"]
+    rows = [("a", n) for text in texts for n in names("7", text)] + [("b", n) for n in names("7", texts[1])]
+    rows += [("a", "7-0099-0010-AA.exfill.local")] + [("a", n) for n in names("7", b"after a stray chunk")]
+    found = reassemble(events(spark, rows)).collect()
+    assert {(r.src_ip, r.transfer, bytes(r.payload)) for r in found} == {("b", 0, texts[1])} | {("a", i, t) for i, t in enumerate(texts)}
+    # Copies that arrive before the end belong to the transfer, copies after it open another that stays open.
+    copies = names("8", texts[1])
+    found = reassemble(events(spark, [("a", n) for n in [copies[0], *copies, *copies[:-1]]])).collect()
+    assert [(r.transfer, bytes(r.payload)) for r in found] == [(0, texts[1])]
+
+
 def test_session_key(spark):
     one, two = names("5", b"first payload"), names("5", b"other payload")
     both = [("a", n) for n in one] + [("b", n) for n in two]
@@ -79,10 +94,18 @@ def test_pieces_join_to_the_payload(spark, size):
     found = reassemble(events(spark, [("a", n) for n in names("9", data, size)]), piece_chars=1024).orderBy("piece").collect()
     assert len(found) == found[0].pieces == 7
     assert b"".join(bytes(r.payload) for r in found) == data
-    ids = {
-        identify(reassemble(events(spark, [("a", n) for n in names("9", data, s)]), piece_chars=1024)).first()["payload_id"] for s in (size, 40)
-    }
-    assert len(ids) == 1
+    for cut in (1024, 1 << 20):
+        identity = identify(reassemble(events(spark, [("a", n) for n in names("9", data, size)]), piece_chars=cut)).first()
+        assert identity["payload_id"] == hashlib.sha256(data).hexdigest() and identity["size"] == len(data)
+
+
+def test_foreign_characters_at_any_size(spark):
+    text = base64.urlsafe_b64encode(random.Random(3).randbytes(300)).decode()
+    text = "".join(c + "!" * (i % 37 == 5) for i, c in enumerate(text))
+    parts = [text[i:i + 7] for i in range(0, len(text), 7)]
+    rows = [("a", f"9-{i}-{len(parts)}-{p}.exfill.local") for i, p in enumerate(parts)]
+    found = [bytes(reassemble(events(spark, rows), decode_mode="cascade", piece_chars=n).first()["payload"]) for n in (16, 1 << 20)]
+    assert found[0] == found[1] == base64.urlsafe_b64decode(text)
 
 
 def test_decoding_round_trips(spark):
@@ -145,6 +168,6 @@ def test_progress_ranges_and_transfer(spark):
 def test_payload_sink(spark, tmp_path):
     found = reassemble(events(spark, [("a", n) for n in names("12", b"RIFF....WAVE")]))
     row = payload_table(found).first()
-    assert row.file_name == f"exfiltrated_12_{int(START.timestamp())}.wav"
+    assert row.file_name == f"exfiltrated_a_12_0_{int(START.timestamp())}000000.wav"
     export_payload_files(found, str(tmp_path / "out"))
     assert (tmp_path / "out" / row.file_name).read_bytes() == b"RIFF....WAVE"
