@@ -16,6 +16,16 @@ def to_base64url(data: Column) -> Column:
     return F.translate(F.base64(data), "+/=\r\n", "-_")
 
 
+def to_base32(data: Column) -> Column:
+    """Base32 text without padding, five bytes (eight characters) at a time."""
+    digits = F.hex(data)
+    filled = F.concat(digits, F.repeat(F.lit("0"), F.pmod(-F.length(digits), F.lit(10)).cast("int")))
+    blocks = F.regexp_extract_all(filled, F.lit(".{10}"), F.lit(0))
+    text = F.array_join(F.transform(blocks, lambda block: F.lpad(F.conv(block, 16, 32), 8, "0")), "")
+    used = F.ceil(F.octet_length(data) * 8 / F.lit(5)).cast("int")
+    return F.translate(F.substring(text, F.lit(1), used), _BASE32_DIGITS, _BASE32_ALPHABET)
+
+
 def _padding(length: Column, block: int) -> Column:
     return F.repeat(F.lit("="), F.pmod(-length, F.lit(block)).cast("int"))
 

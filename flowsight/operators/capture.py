@@ -18,14 +18,20 @@ def captured(src_port: str = "src_port", dst_port: str = "dst_port") -> Column:
     return F.col(src_port).isin(*CAPTURE_PORTS) | F.col(dst_port).isin(*CAPTURE_PORTS)
 
 
-def protocol_class(src_port: str = "src_port", dst_port: str = "dst_port") -> Column:
-    """dns, http or other; DNS wins."""
+def protocol_class(src_port: str = "src_port", dst_port: str = "dst_port", protocol: str | None = None) -> Column:
+    """dns, http or other; DNS wins. HTTP runs over TCP, DNS over UDP or TCP, as far as a column names the protocol."""
     dns = (F.col(src_port) == DNS_PORT) | (F.col(dst_port) == DNS_PORT)
-    return F.when(dns, "dns").when(F.col(dst_port).isin(*HTTP_PORTS), "http").otherwise("other")
+    http = F.col(dst_port).isin(*HTTP_PORTS)
+    if protocol is not None:
+        name = F.upper(F.trim(protocol))
+        dns, http = dns & F.coalesce(name.isin("UDP", "TCP"), F.lit(True)), http & F.coalesce(name == "TCP", F.lit(True))
+    return F.when(dns, "dns").when(http, "http").otherwise("other")
 
 
 def classify_packets(packets: DataFrame) -> DataFrame:
-    return packets.where(captured()).withColumn("proto_class", protocol_class())
+    """Captured packets with proto_class; a column protocol (UDP, TCP, ...; NULL: not known) is heeded if there is one."""
+    protocol = "protocol" if "protocol" in packets.columns else None
+    return packets.where(captured()).withColumn("proto_class", protocol_class(protocol=protocol))
 
 
 def counters(packets: DataFrame, keys: Sequence[str | Column] = ()) -> DataFrame:

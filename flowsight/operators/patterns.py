@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowsight.functions.codec import alphabet_of
+from flowsight.functions.codec import alphabet_flags, choose_alphabet
 from flowsight.functions.names import first_label, parent_domain
 from flowsight.functions.numeric import epoch_us
 from flowsight.operators.ordered import carry_last
@@ -14,8 +14,11 @@ from flowsight.operators.ordered import carry_last
 # Chunk sizes in characters that count as an exfiltration chunk.
 CHUNK_SIZES = (8, 100)
 
-# Limits of the timing classes, in seconds and ratios; choices of this package.
-SHORT_GAP, BURST_SHARE, REGULAR_VARIATION, SLOW_GAP = 0.05, 0.5, 0.1, 1.0
+# Limits of the timing classes; choices of this package. Inside a burst gaps are a hundredth of a second, the only
+# fixed time; all else is a ratio, so that a pattern is known at any speed.
+SHORT_GAP, BURST_SHARE, REGULAR_VARIATION = 0.05, 0.5, 0.1
+# Stealth draws its gaps evenly between two and five base delays: the longest is at most 2.5 times the shortest.
+STEALTH_RATIO = (1.9, 2.6)
 
 
 def named(events: DataFrame) -> DataFrame:
@@ -57,10 +60,27 @@ def label_entropy(events: DataFrame, keys: Sequence[str] = ("src_ip", "parent"))
     )
 
 
-def payload_alphabet(chunks: DataFrame, keys: Sequence[str] = ("src_ip",)) -> DataFrame:
-    """Chunks per alphabet (hex, base32, base64url or raw)."""
-    return chunks.groupBy(*keys, alphabet_of(F.col("chunk")).alias("alphabet")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("characters")
+def payload_alphabet(
+    chunks: DataFrame, keys: Sequence[str] = ("src_ip",), session: Sequence[str] = ("src_ip", "session_id")
+) -> DataFrame:
+    """Sessions, chunks and characters per alphabet (hex, base32, base64url or raw) of the session.
+
+    A chunk is a fragment, so what its characters allow is combined over the session, and the rules on lengths look
+    at the session's whole text. Chunks that came twice count twice here but once in the text.
+    """
+    flags = alphabet_flags(F.col("chunk"))
+    once = chunks.groupBy(*session, *[k for k in keys if k not in session], "idx").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk")).alias("characters"),
+        F.max(F.length(F.rtrim("chunk", F.lit("=")))).alias("core"),
+        *[F.bool_and(flag).alias(name) for name, flag in flags.items()],
+    )
+    sessions = once.groupBy(*dict.fromkeys([*keys, *session])).agg(
+        F.sum("n").alias("chunks"), F.sum("characters").alias("characters"), F.sum("core").alias("core"),
+        *[F.bool_and(name).alias(name) for name in flags],
+    )
+    alphabet = choose_alphabet({name: F.col(name) for name in flags}, F.col("core"))
+    return sessions.groupBy(*keys, alphabet.alias("alphabet")).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("chunks").alias("chunks"), F.sum("characters").alias("characters")
     )
 
 
@@ -98,8 +118,9 @@ def inter_arrivals(
 def timing_class(events: DataFrame, keys: Sequence[str], slice_width: float = 3600.0) -> DataFrame:
     """Timing pattern per group from the gaps between its events.
 
-    burst: at least half of the gaps are short and the rest stand out; regular: gaps hardly vary; stealth:
-    gaps vary and none is shorter than SLOW_GAP; random: the rest. Groups without two gaps are "unknown".
+    burst: at least half of the gaps are short and the rest stand out; regular: gaps hardly vary; stealth: the longest gap
+    is about two and a half times the shortest; random: the rest, among them gaps that vary by more or by less around a
+    base delay. Twenty gaps or so tell stealth from random. Groups without two gaps are "unknown".
     """
     gap = F.col("gap_us") / F.lit(1e6)
     gaps = inter_arrivals(events, keys, slice_width).groupBy(*keys).agg(
@@ -112,7 +133,7 @@ def timing_class(events: DataFrame, keys: Sequence[str], slice_width: float = 36
         F.when(F.col("gaps") < 2, "unknown")
         .when((F.col("short_share") >= BURST_SHARE) & (variation > 1), "burst")
         .when(variation <= REGULAR_VARIATION, "regular")
-        .when(F.col("min_gap") >= SLOW_GAP, "stealth")
+        .when(F.try_divide("max_gap", "min_gap").between(*STEALTH_RATIO), "stealth")
         .otherwise("random")
     )
     return gaps.withColumns({"variation": variation, "pattern": kind})

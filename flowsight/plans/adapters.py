@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flowsight.functions.codec import to_base64url
+from flowsight.functions.codec import to_base32, to_base64url
 from flowsight.operators.meter import meter
 from flowsight.operators.metrics import CLASS_NAMES
 from flowsight.operators.ordered import running_totals
@@ -122,6 +122,38 @@ def encoded_queries(spark: SparkSession, folder: str) -> DataFrame:
     return _chunk_names(documents, encoded).select("ts", "src_ip", "qname", "seq")
 
 
+def three_encodings(spark: SparkSession, folder: str) -> DataFrame:
+    """As document_queries, in hex for English, base32 for French and base64url for other documents."""
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    data = F.encode("text", "utf-8")
+    encoded = F.when(F.col("lang") == "en", F.lower(F.hex(data))).when(F.col("lang") == "fr", to_base32(data)).otherwise(
+        to_base64url(data)
+    )
+    return _chunk_names(documents, encoded).select("ts", "src_ip", "qname", "seq")
+
+
+def paced_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events sent again by their users, each with one of four timings at one of three speeds.
+
+    User 4n waits a fixed time, 4n + 1 a time that varies by half of it, 4n + 2 sends bursts of ten, and 4n + 3 waits
+    from two to five times its base delay.
+    """
+    events = table(spark, folder, "events").select("user_id", "event_id")
+    user, place = F.col("user_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    draw = F.pmod(F.col("event_id") * 7919 + user * 104729, F.lit(1000)) / F.lit(999.0)
+    base = F.element_at(F.array(F.lit(0.2), F.lit(2.0), F.lit(20.0)), (user % 3 + 1).cast("int"))
+    kind = user % 4
+    gap = (
+        F.when(kind == 0, base).when(kind == 1, base * (0.5 + draw))
+        .when(kind == 2, F.when(place % 10 == 0, base * 10).otherwise(0.01)).otherwise(base * (2 + 3 * draw))
+    )
+    along = Window.partitionBy("user_id").orderBy("event_id")
+    us = F.sum(F.round(F.col("gap") * 1e6).cast("bigint")).over(along)
+    return events.withColumn("gap", gap).select(
+        F.timestamp_micros(F.lit(FIRST_MOMENT_US) + us).alias("ts"), "user_id", F.col("event_id").alias("seq")
+    )
+
+
 def damaged_queries(spark: SparkSession, folder: str) -> DataFrame:
     """As document_queries, with German documents missing index 1 and French ones sending index 0 twice,
     first with a wrong chunk."""

@@ -545,13 +545,12 @@ def label_entropy(spark, folder):
     return patterns.label_entropy(a.all_queries(spark, folder)).withColumn("entropy", F.round("entropy", 6))
 
 
-@query("payload_alphabet", f"""WITH {q.ENCODED_QUERIES}, {q.chunks('dns')}, cl AS (SELECT src_ip, chunk, CASE
- WHEN (regexp_full_match(chunk, '[0-9a-f]*') OR (regexp_full_match(chunk, '[0-9A-F]*') AND NOT regexp_full_match(chunk, '[A-Z2-7]*'))) AND length(chunk) % 2 = 0 THEN 'hex'
- WHEN regexp_full_match(chunk, '[A-Z2-7]*') AND length(chunk) % 8 IN (0, 2, 4, 5, 7) THEN 'base32'
- WHEN length(chunk) % 4 <> 1 THEN 'base64url' ELSE 'raw' END AS alphabet FROM chunk_rows)
- SELECT src_ip, alphabet, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM cl GROUP BY ALL""")
+@query("payload_alphabet", """WITH e AS (SELECT lang, strlen(text) AS bytes, CASE lang WHEN 'en' THEN 'hex' WHEN 'fr' THEN 'base32' ELSE 'base64url' END AS alphabet,
+ CAST(CASE lang WHEN 'en' THEN strlen(text) * 2 WHEN 'fr' THEN ceil(strlen(text) * 8 / 5) ELSE ceil(strlen(text) * 4 / 3) END AS BIGINT) AS chars FROM documents WHERE strlen(text) > 0)
+ SELECT '10.2.0.' || lang AS src_ip, alphabet, count(*) AS sessions, CAST(sum(ceil(chars / 30)) AS BIGINT) AS chunks, CAST(sum(chars) AS BIGINT) AS characters FROM e GROUP BY ALL""")
 def payload_alphabet(spark, folder):
-    return patterns.payload_alphabet(reassembly.parse_chunks(a.encoded_queries(spark, folder)))
+    """The alphabet found equals the one the session was sent in."""
+    return patterns.payload_alphabet(reassembly.parse_chunks(a.three_encodings(spark, folder)))
 
 
 @query("domain_rotation", """WITH nm AS (SELECT user_id, event_type || '.local' AS parent, epoch_us(ts) AS us FROM events)
@@ -564,15 +563,23 @@ def domain_rotation(spark, folder):
 
 
 @query("timing_class", """WITH g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events),
- s AS (SELECT user_id, count(gap) AS gaps, avg(gap) AS m, stddev_pop(gap) AS sd, min(gap) AS lo, count(*) FILTER (WHERE gap <= 0.05) / greatest(count(gap), 1) AS short FROM g GROUP BY 1)
+ s AS (SELECT user_id, count(gap) AS gaps, avg(gap) AS m, stddev_pop(gap) AS sd, min(gap) AS lo, max(gap) AS hi, count(*) FILTER (WHERE gap <= 0.05) / greatest(count(gap), 1) AS short FROM g GROUP BY 1)
  SELECT user_id, gaps, round(m, 3) AS mean_gap, round(CASE WHEN m > 0 THEN sd / m ELSE 0 END, 4) AS variation, CASE WHEN gaps < 2 THEN 'unknown' WHEN short >= 0.5 AND sd / m > 1 THEN 'burst'
- WHEN sd / m <= 0.1 THEN 'regular' WHEN lo >= 1 THEN 'stealth' ELSE 'random' END AS pattern FROM s""")
+ WHEN sd / m <= 0.1 THEN 'regular' WHEN hi / nullif(lo, 0) BETWEEN 1.9 AND 2.6 THEN 'stealth' ELSE 'random' END AS pattern FROM s""")
 def timing_class(spark, folder):
     events = a.table(spark, folder, "events").withColumnRenamed("event_id", "seq")
     found = patterns.timing_class(events, ["user_id"], 12 * 3600.0)
     return found.select("user_id", "gaps", F.round("mean_gap", 3).alias("mean_gap"), F.round("variation", 4).alias("variation"), "pattern")
 
 
+@query("timing_class_known", """SELECT user_id, count(*) - 1 AS gaps, ['regular', 'random', 'burst', 'stealth'][user_id % 4 + 1] AS pattern
+ FROM events GROUP BY user_id HAVING count(*) > 40""")
+def timing_class_known(spark, folder):
+    """The pattern found equals the one that the events were sent with, at every speed."""
+    found = patterns.timing_class(a.paced_events(spark, folder), ["user_id"], 60.0)
+    return found.where("gaps >= 40").select("user_id", "gaps", "pattern")
+
+
 def _event_sources(spark, folder) -> DataFrame:
     events = a.table(spark, folder, "events")
     return events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("src"))

@@ -1,3 +1,5 @@
+import base64
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -156,11 +158,30 @@ def test_timing_classes(spark):
     rng = np.random.default_rng(0)
     series = {
         "regular": np.arange(50) * 0.2, "burst": np.cumsum(np.where(np.arange(60) % 10 == 9, 2.0, 0.01)),
-        "random": np.cumsum(0.2 + rng.uniform(-0.1, 0.1, 80)), "stealth": np.cumsum(rng.uniform(16, 40, 80)), "unknown": np.array([0.0, 5.0]),
+        "random": np.cumsum(0.2 + rng.uniform(-0.1, 0.1, 80)), "stealth": np.cumsum(rng.uniform(16, 40, 80)),
+        "stealth fast": np.cumsum(rng.uniform(0.4, 1.0, 80)), "random slow": np.cumsum(10 + rng.uniform(-5, 5, 80)), "unknown": np.array([0.0, 5.0]),
     }
     rows = [(name, pd.Timestamp("2025-01-01") + pd.Timedelta(seconds=float(t)), i) for name, times in series.items() for i, t in enumerate(times)]
     events = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "ts", "seq"]))
-    assert {r.k: r.pattern for r in patterns.timing_class(events, ["k"], 5.0).collect()} == {k: k for k in series}
+    assert {r.k: r.pattern for r in patterns.timing_class(events, ["k"], 5.0).collect()} == {k: k.split()[0] for k in series}
+
+
+def test_alphabets_of_sessions_in_short_chunks(spark):
+    rng = np.random.default_rng(1)
+    sent = {"hex": lambda b: b.hex(), "base32": lambda b: base64.b32encode(b).decode().rstrip("="), "base64url": lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")}
+    rows = []
+    for name, encode in sent.items():
+        text = encode(rng.bytes(233))
+        rows += [("a", name, i, text[at:at + 30]) for i, at in enumerate(range(0, len(text), 30))]
+    chunks = spark.createDataFrame(rows, "src_ip string, session_id string, idx long, chunk string")
+    found = {r.session_id: r.alphabet for r in patterns.payload_alphabet(chunks, ["session_id"]).collect()}
+    assert found == {name: name for name in sent}
+
+
+def test_protocols(spark):
+    rows = [(9, 443, "tcp"), (9, 443, "UDP"), (9, 443, None), (9, 53, "udp"), (9, 53, "ICMP")]
+    df = spark.createDataFrame(rows, "src_port int, dst_port int, protocol string")
+    assert [r.proto_class for r in capture.classify_packets(df).collect()] == ["http", "other", "http", "dns", "other"]
 
 
 def test_capture(spark):
