@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from flowsight.plans.live import finish, run_to_table, work_folder
 from flowsight.operators.meter import meter
-from flowsight.streaming.meter import stream_meter, write_batches
+from flowsight.streaming.detect import open_windows, stream_counters
+from flowsight.streaming.meter import finish_meter, stream_meter, write_batches
 from flowsight.streaming.reassemble import stream_reassemble, use_disk_state
 
 START = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -49,3 +50,17 @@ def test_closed_conversations_equal_the_batch(spark, tmp_path):
     live = spark.read.parquet(f"{folder}/flows").drop("batch").orderBy("flow_id").collect()
     batch = meter(spark.createDataFrame(rows, schema), 20).where(F.col("SourceIP") != "x").orderBy("flow_id").collect()
     assert len(live) == 2 and [r.asDict() for r in live] == [r.asDict() for r in batch]
+    # What is left open is metered at the end; then the stream's flows are those of the batch.
+    finish_meter(spark.read.parquet(path), write_batches(f"{folder}/flows"), 20, lateness=0.0)
+    everything = spark.read.parquet(f"{folder}/flows").drop("batch").orderBy("flow_id").collect()
+    assert [r.asDict() for r in everything] == [r.asDict() for r in meter(spark.createDataFrame(rows, schema), 20).orderBy("flow_id").collect()]
+
+
+def test_counters_of_open_windows(spark, tmp_path):
+    rows = [(START + timedelta(seconds=i * 7), "c", "s", 5000, 53, 60, i) for i in range(40)]
+    schema = "ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, length long, seq long"
+    stream, path = stored(spark, tmp_path, "w", rows, schema, files=3)
+    sent = {(r.window_start, r.total_packets) for r in run_to_table(stream_counters(stream, "1 minute", "10 seconds")).collect()}
+    rest = {(r.window_start, r.total_packets) for r in open_windows(spark.read.parquet(path), "1 minute", 10.0).collect()}
+    assert sent and rest and not {s for s, _ in sent} & {s for s, _ in rest}
+    assert sum(n for _, n in sent | rest) == 40
