@@ -32,6 +32,16 @@ def test_flow_csv(spark, tmp_path):
     assert found == {("a.csv", 1.5, "10.0.0.1"), ("a.csv", None, "10.0.0.3"), ("b.csv", 7.0, None), ("c.csv", 1.0, "10.9.9.9")}
 
 
+def test_folder_of_mixed_headers(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("SourceIP,Duration,Label\n10.0.0.1,1.5,Benign\n")
+    (tmp_path / "b.csv").write_text("Label,SourceIP,Duration\nMalicious,10.0.0.2,2.5\n")
+    (tmp_path / "c.csv").write_text("SourceIP,Duration\n10.9.9.9,1\n")
+    (tmp_path / "empty.csv").write_text("")
+    for recursive in (False, True):
+        got = flows.read_flows(spark, str(tmp_path), labelled=True, recursive=recursive).collect()
+        assert {(r.SourceIP, r.Duration, r.Label) for r in got} == {("10.0.0.1", 1.5, "Benign"), ("10.0.0.2", 2.5, "Malicious")}
+
+
 def test_packet_sequences(spark, tmp_path):
     write(
         tmp_path, **{
