@@ -55,8 +55,10 @@ def pair_packets(packets: DataFrame) -> DataFrame:
 
 
 def _place() -> Column:
-    """Time and sequence number as one fixed-width value, so min_by and max_by stay hash aggregates."""
-    return F.col("us").cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("seq")
+    """Time, sequence number and direction as one fixed-width value, so min_by and max_by stay hash aggregates and packets
+    of one moment without sequence numbers have an order."""
+    moment = F.col("us").cast("decimal(38,0)") * F.lit("20000000000000000000").cast("decimal(20,0)")
+    return moment + F.col("seq").cast("decimal(38,0)") * 2 + F.col("from_a").cast("int")
 
 
 def _slices(pairs: DataFrame, idle_gap_us: int, hot_packets: int) -> DataFrame:
@@ -87,7 +89,7 @@ def assign_flows(
     pairs: DataFrame, slices: DataFrame, max_age: float | None
 ) -> DataFrame:
     """Packets with the flow they belong to and the time since the packet before them in that flow."""
-    inside = Window.partitionBy(*PAIR, "slice").orderBy("us", "seq")
+    inside = Window.partitionBy(*PAIR, "slice").orderBy("us", "seq", "from_a", "length")
     rows = pairs.join(slices, [*PAIR, "slice"])
     rows = rows.withColumns({
         "prev_us": F.coalesce(F.lag("us").over(inside), F.col("prev_us")),

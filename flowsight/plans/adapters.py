@@ -68,7 +68,7 @@ def event_packets(spark: SparkSession, folder: str, read: Reader = table) -> Dat
 
 
 def event_flows(spark: SparkSession, folder: str) -> DataFrame:
-    return meter(event_packets(spark, folder), HALF_DAY, slice_width=HALF_DAY)
+    return meter(event_packets(spark, folder), HALF_DAY)
 
 
 def order_packets(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +88,7 @@ def order_flows(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey"),
         F.when(F.col("o_orderstatus") == "F", CLASS_NAMES[1]).otherwise(CLASS_NAMES[0]).alias("Label"),
     )
-    flows = meter(order_packets(spark, folder), CENTURY, slice_width=CENTURY)
+    flows = meter(order_packets(spark, folder), CENTURY)
     client = F.when(F.col("SourcePort") == 443, F.col("DestinationIP")).otherwise(F.col("SourceIP"))
     order = F.substring_index(client, "-", -1).cast("bigint")
     return flows.withColumn("flow_id", order).join(orders, F.col("flow_id") == F.col("o_orderkey")).drop("o_orderkey")

@@ -70,14 +70,14 @@ _register_statistics("flow_meter_response_stats", "ResponseTimeTime")
 @query("flow_split_by_age", f"""WITH {q.flows(q.EVENT_PACKETS, q.HALF_DAY_US, 6 * 3600 * 1_000_000)}
 SELECT {shown_sql(*BASICS, close=(*RATES, 'PacketTimeMean', 'PacketTimeMedian', 'ResponseTimeTimeMedian', 'ResponseTimeTimeMode'))} FROM flow_table""")
 def flow_split_by_age(spark, folder):
-    flows = metering.meter(a.event_packets(spark, folder), a.HALF_DAY, max_age=6 * 3600.0, slice_width=a.HALF_DAY)
+    flows = metering.meter(a.event_packets(spark, folder), a.HALF_DAY, max_age=6 * 3600.0)
     return shown(flows, *BASICS, close=(*RATES, "PacketTimeMean", "PacketTimeMedian", "ResponseTimeTimeMedian", "ResponseTimeTimeMode"))
 
 
 @query("flow_doh_flag", f"""WITH {q.EVENT_FLOWS} SELECT flow_id,
 (DestinationPort = 443 AND DestinationIP = '192.0.2.1') OR (SourcePort = 443 AND SourceIP = '192.0.2.1') AS doh FROM flow_table""")
 def flow_doh_flag(spark, folder):
-    flows = metering.meter(a.event_packets(spark, folder), a.HALF_DAY, resolvers=["192.0.2.1"], slice_width=a.HALF_DAY)
+    flows = metering.meter(a.event_packets(spark, folder), a.HALF_DAY, resolvers=["192.0.2.1"])
     return flows.select("flow_id", F.col("DoH").alias("doh"))
 
 
