@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsight.operators.ordered import next_values, running_totals
+from flowsight.runtime import cut_lineage
 
 CLASS_NAMES = ("Benign", "Malicious")
 
@@ -102,6 +103,12 @@ def score_counts(
     )
 
 
+def _running_counts(df: DataFrame, score: str, truth: str, keys: list[str]) -> DataFrame:
+    """Counts per score with their running totals. The counts are stored, since cut points, slices and totals read them."""
+    counts = cut_lineage(score_counts(df, score, truth, keys))
+    return running_totals(counts, "score", ["pos", "neg"], keys, descending=True)
+
+
 def roc_curve(
     df: DataFrame, score: str = "p", truth: str = "label", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -110,7 +117,7 @@ def roc_curve(
     The first point is (0, 0) at an infinite threshold. A rate without any row behind it is NULL.
     """
     keys = list(keys)
-    points = running_totals(score_counts(df, score, truth, keys), "score", ["pos", "neg"], keys, descending=True)
+    points = _running_counts(df, score, truth, keys)
     points = next_values(points, "score", ["pos", "neg"], keys, descending=True)
     first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
     straight = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg"))
@@ -129,7 +136,7 @@ def roc_curve(
 def auc(df: DataFrame, score: str = "p", truth: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve; ties count half. NULL with one class only."""
     keys = list(keys)
-    points = running_totals(score_counts(df, score, truth, keys), "score", ["pos", "neg"], keys, descending=True)
+    points = _running_counts(df, score, truth, keys)
     above = F.col("cum_pos") - F.col("pos") / F.lit(2.0)
     return points.groupBy(*keys).agg(
         F.try_divide(
@@ -139,15 +146,20 @@ def auc(df: DataFrame, score: str = "p", truth: str = "label", keys: Sequence[st
 
 
 def threshold_at_fpr(
-    df: DataFrame, fpr: float = 0.01, score: str = "p", truth: str = "label", keys: Sequence[str] = ()
+    df: DataFrame, fpr: float | Sequence[float] = 0.01, score: str = "p", truth: str = "label", keys: Sequence[str] = ()
 ) -> DataFrame:
     """The threshold whose false-positive rate is nearest the target, the highest on ties.
 
-    Infinite when (0, 0) is nearest: such a model never fires. 0.5 when there are no scores.
+    Infinite when (0, 0) is nearest: such a model never fires. 0.5 when there are no scores. Several targets give a row
+    each, with a column target, from one curve.
     """
     curve = roc_curve(df, score, truth, keys)
-    distance = F.struct(F.abs(F.col("fpr") - F.lit(fpr)), -F.col("threshold"))
-    best = curve.groupBy(*keys).agg(
-        F.coalesce(F.min_by("threshold", distance), F.lit(0.5)).alias("threshold")
-    )
-    return best
+
+    def nearest(target: float) -> Column:
+        distance = F.struct(F.abs(F.col("fpr") - F.lit(target)), -F.col("threshold"))
+        return F.coalesce(F.min_by("threshold", distance), F.lit(0.5))
+
+    if not isinstance(fpr, Sequence):
+        return curve.groupBy(*keys).agg(nearest(fpr).alias("threshold"))
+    each = F.array(*[F.struct(F.lit(float(t)).alias("target"), nearest(t).alias("threshold")) for t in fpr])
+    return curve.groupBy(*keys).agg(each.alias("_each")).select(*keys, F.inline("_each"))

@@ -319,8 +319,7 @@ def auc_per_model(spark, folder):
  FROM roc, (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) t(target) GROUP BY t.target""")
 def threshold_at_fpr(spark, folder):
     scores = a.embedding_scores(spark, folder)
-    found = [metrics.threshold_at_fpr(scores, fpr).select(F.lit(fpr).alias("target"), "threshold") for fpr in (0.05, 0.1, 0.5)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return metrics.threshold_at_fpr(scores, [0.05, 0.1, 0.5])
 
 
 @query("accuracy_at_threshold", f"""WITH {q.SCORES} SELECT t.threshold, round(avg(CASE WHEN (p >= t.threshold) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
