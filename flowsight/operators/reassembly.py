@@ -60,14 +60,10 @@ def _arrival(df: DataFrame) -> DataFrame:
     })
 
 
-def _finished(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _finished(latest: DataFrame, keys: list[str]) -> DataFrame:
     """Sessions whose first transfer ended before their last chunk came: (keys, ended), ended an arrival (us, seq)."""
-    arrival = F.struct("us", "seq")
-    first = rows.groupBy(*keys, "idx").agg(
-        F.min(F.struct("us", "seq", "total")).alias("first"), F.max(arrival).alias("last")
-    )
     came = F.struct(F.col("first.us").alias("us"), F.col("first.seq").alias("seq"))
-    sessions = first.groupBy(*keys).agg(
+    sessions = latest.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max("idx").alias("max_idx"), F.min("first").alias("start"),
         F.max(came).alias("whole"), F.max("last").alias("last"),
     ).withColumn("total", F.col("start.total"))
@@ -79,33 +75,35 @@ def _finished(rows: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("n") > F.col("total")) & (F.col("max_idx") >= F.col("total")) & (F.col("total") > 0)
     ).select(*keys, "total"))
     inside = F.col("idx") < F.col("total")
-    judged = first.join(strange, keys).groupBy(*keys, "total").agg(
+    judged = latest.join(strange, keys).groupBy(*keys, "total").agg(
         F.count_if(inside).alias("n"), F.max(F.when(inside, came)).alias("whole"), F.min(F.when(~inside, came)).alias("stray"),
     )
     late = judged.where((F.col("n") == F.col("total")) & (F.col("stray") > F.col("whole")))
     return plain.unionByName(late.select(*keys, F.col("whole").alias("ended")))
 
 
-def split_transfers(chunks: DataFrame, key: str = "source") -> DataFrame:
-    """Chunks with us, seq and transfer, the number (from 0) of their transfer in the session.
+def transfer_chunks(chunks: DataFrame, key: str = "source") -> DataFrame:
+    """As latest_chunks, per transfer: the number (from 0) of a transfer in its session is in column transfer.
 
-    One round of aggregates over first arrivals per index finds the end of the first transfer of every session; only
-    chunks that came later, in sessions that have such, go into the next round.
+    The latest chunks of whole sessions are stored, and aggregates of first arrivals over them tell which sessions went on
+    after a transfer had ended. Only the chunks of those are read again, round by round.
     """
     keys = session_keys(key)
-    rows, settled, number = _arrival(chunks), None, 0
+    latest = cut_lineage(latest_chunks(chunks, keys=keys))
+    ended = cut_lineage(_finished(latest, keys))
+    numbered = lambda df, number: df.withColumn("transfer", F.lit(number))
+    if ended.isEmpty():
+        return numbered(latest, 0)
+    found = numbered(latest.join(ended.select(*keys), keys, "left_anti"), 0)
+    later = F.col("ended").isNotNull() & (F.struct("us", "seq") > F.col("ended"))
+    rows, number = cut_lineage(_arrival(chunks).join(ended, keys)), 0
     while True:
-        ended = cut_lineage(_finished(rows, keys))
-        more = not ended.isEmpty()
-        here = rows
-        if more:
-            later = F.struct("us", "seq") > F.col("ended")
-            here = rows.join(ended, keys, "left").where(F.col("ended").isNull() | ~later).drop("ended")
-        here = here.withColumn("transfer", F.lit(number))
-        settled = here if settled is None else settled.unionByName(here)
-        if not more:
-            return settled
-        rows, number = cut_lineage(rows.join(ended, keys).where(later).drop("ended")), number + 1
+        found = found.unionByName(numbered(latest_chunks(rows.where(~later), keys=keys), number))
+        rest = cut_lineage(rows.where(later).drop("ended"))
+        if rest.isEmpty():
+            return found
+        ended = cut_lineage(_finished(latest_chunks(rest, keys=keys), keys))
+        rows, number = cut_lineage(rest.join(ended, keys, "left")), number + 1
 
 
 def transfer_keys(key: str) -> list[str]:
@@ -118,15 +116,15 @@ def latest_chunks(chunks: DataFrame, key: str = "source", keys: list[str] | None
     latest = _arrival(chunks).groupBy(*(keys or session_keys(key)), "idx").agg(
         F.max_by("chunk", arrival).alias("chunk"),
         F.min(F.struct("us", "seq", "total")).alias("first"),
-        F.max("us").alias("last_us"),
+        F.max(arrival).alias("last"), F.max("us").alias("last_us"),
         F.sum(F.lit(1)).alias("arrivals"),
     )
-    return shared(latest, "chunk", "first", "last_us", "arrivals")
+    return shared(latest, "chunk", "first", "last", "last_us", "arrivals")
 
 
-def _blocks(chunks: DataFrame, keys: list[str]) -> DataFrame:
+def _blocks(latest: DataFrame, keys: list[str]) -> DataFrame:
     """Chunks joined in index order per block of BLOCK_CHUNKS indexes."""
-    latest = latest_chunks(chunks, keys=keys).withColumn("block", F.floor(F.col("idx") / BLOCK_CHUNKS))
+    latest = latest.withColumn("block", F.floor(F.col("idx") / BLOCK_CHUNKS))
     ordered = F.sort_array(F.collect_list(F.struct("idx", "chunk")))
     blocks = latest.groupBy(*keys, "block").agg(
         F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("text"),
@@ -188,7 +186,7 @@ def session_texts(
     if piece_chars is not None and piece_chars % 8:
         raise ValueError("piece_chars must be a multiple of 8")
     keys = transfer_keys(key)
-    blocks = _blocks(split_transfers(parse_chunks(events, keywords), key), keys)
+    blocks = _blocks(transfer_chunks(parse_chunks(events, keywords), key), keys)
     sessions = _complete_sessions(blocks, keys)
     columns = [*keys, "chunks", "chars", "started_us", "alphabet"]
     texts = blocks.select(*keys, "block", "text")

@@ -11,7 +11,11 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracle import compare, connect  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["rule_score_summary", "reassemble_sha", "roc_points", "log_verdicts", "stratified_split", "label_entropy"]
+NAMES = [
+    "rule_score_summary", "reassemble_sha", "roc_points", "log_verdicts", "stratified_split", "label_entropy",
+    "payload_identity_long", "reassemble_repeated_sessions", "payload_alphabet", "timing_class_known", "threshold_at_fpr",
+    "flows_csv_mixed_headers", "flows_csv_unlabelled_skipped", "payload_files", "stream_counters",
+]
 
 
 @pytest.mark.parametrize("name", NAMES)
