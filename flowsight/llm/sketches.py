@@ -3,7 +3,7 @@
 A text is cut into paragraphs, and each paragraph's digest is added to three cells of a small table: a counter, a sum of
 digests and a sum of check digests. Two tables are subtracted cell by cell, which cancels what both texts share.
 Cells that hold one digest are then peeled off one after the other until the whole difference is known. If peeling gets
-stuck, both tables are built again eight times as large.
+stuck, both tables are built again, large enough for the paragraphs of both texts, and twice as large if that fails too.
 """
 
 from __future__ import annotations
@@ -20,111 +20,187 @@ from flowsight.llm.common import Batches, Spans, map_rows, mixed, word_bounds, w
 
 #: Cells of a fingerprint, in three equal parts.
 CELLS = 15
+#: Characters of texts that are compared side by side.
+TOGETHER = 1 << 19
 _MARKS = np.frombuffer(b".!?", dtype=np.uint8)
 _SALTS = np.array([0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD, 0xC3A5C85C97CB3127], dtype=np.uint64)
 
 
-def paragraph_digests(text: str) -> np.ndarray:
-    """Distinct digests of the paragraphs of a text, one for each occurrence.
+def paragraphs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct digests of the paragraphs of many texts, one for each occurrence, and how many each text has.
 
     A paragraph ends at a line break, after a word that ends in a full stop, exclamation or question mark, and after
     about every sixteenth word, chosen by its digest, so that a text of one long line has paragraphs too. Blanks between
-    words do not count.
+    words do not count. Digests stand in the order of texts.
     """
-    data = text.encode("utf-8", "surrogatepass")
+    parts = [text.encode("utf-8", "surrogatepass") for text in texts]
+    data = b"\n".join(parts)
     starts, ends = word_bounds(data)
     if not len(starts):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
     words = word_digests(data)
     raw = np.frombuffer(data, dtype=np.uint8)
     lines = np.concatenate(([0], np.cumsum(raw == 10)))
+    # The break between two texts ends a paragraph like any other.
     last = np.isin(raw[ends - 1], _MARKS) | (words & np.uint64(15) == 0)
     last[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     last[-1] = True
     to = np.flatnonzero(last) + 1
-    digests = np.sort(Spans(words).digest(np.concatenate(([0], to[:-1])), to))
-    # Repeats get a number, so that each counts on its own.
-    firsts = np.concatenate(([True], digests[1:] != digests[:-1]))
+    digests = Spans(words).digest(np.concatenate(([0], to[:-1])), to)
+    borders = np.cumsum([len(p) + 1 for p in parts])
+    owner = np.searchsorted(borders, starts[to - 1], side="right")
+    order = np.lexsort((digests, owner))
+    digests, owner = digests[order], owner[order]
+    # Repeats in a text get a number, so that each counts on its own.
+    firsts = np.concatenate(([True], (digests[1:] != digests[:-1]) | (owner[1:] != owner[:-1])))
     places = np.arange(len(digests))
     number = places - np.maximum.accumulate(np.where(firsts, places, 0))
-    return mixed(digests + number.astype(np.uint64) * _SALTS[3])
-
+    return mixed(digests + number.astype(np.uint64) * _SALTS[3]), np.bincount(owner, minlength=len(texts))
 
-class Sketch:
-    """A table of cells; subtract() and peel() recover the digests in which two of them differ."""
 
-    def __init__(self, keys: np.ndarray, cells: int = CELLS):
-        self.part = cells // 3
-        self.counts = np.zeros(3 * self.part, dtype=np.int64)
-        self.keys = np.zeros(3 * self.part, dtype=np.uint64)
-        self.checks = np.zeros(3 * self.part, dtype=np.uint64)
-        self._add(keys, np.ones(len(keys), dtype=np.int64))
-
-    def _add(self, keys: np.ndarray, signs: np.ndarray) -> None:
-        at = np.concatenate([mixed(keys ^ _SALTS[i]) % np.uint64(self.part) + np.uint64(i * self.part) for i in range(3)]).astype(np.int64)
-        signs = np.tile(signs, 3)
+def paragraph_digests(text: str) -> np.ndarray:
+    return paragraphs_of([text])[0]
+
+
+class Tables:
+    """Many tables of cells side by side, each with its own number of cells in three equal parts."""
+
+    def __init__(self, cells: np.ndarray):
+        self.part = np.asarray(cells, dtype=np.int64) // 3
+        self.start = np.concatenate(([0], np.cumsum(3 * self.part)))
+        size = int(self.start[-1])
+        self.counts = np.zeros(size, dtype=np.int64)
+        self.keys, self.checks = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
+
+    def add(self, keys: np.ndarray, owner: np.ndarray, signs: np.ndarray | int = 1) -> np.ndarray:
+        """Add digests to tables (or take them out, with signs of -1); the cells they are in."""
+        part = self.part[owner]
+        wide = part.astype(np.uint64)
+        at = np.concatenate([
+            self.start[owner] + i * part + (mixed(keys ^ salt) % wide).astype(np.int64) for i, salt in enumerate(_SALTS[:3])
+        ])
+        signs = np.broadcast_to(np.asarray(signs, dtype=np.int64), keys.shape)
         factor = signs.astype(np.uint64)  # minus one is the largest unsigned number: sums wrap round
-        np.add.at(self.counts, at, signs)
-        np.add.at(self.keys, at, np.tile(keys, 3) * factor)
-        np.add.at(self.checks, at, np.tile(mixed(keys + _SALTS[3]), 3) * factor)
-
-    def subtract(self, other: Sketch) -> Sketch:
-        left = Sketch(np.empty(0, dtype=np.uint64), 3 * self.part)
-        left.counts, left.keys, left.checks = self.counts - other.counts, self.keys - other.keys, self.checks - other.checks
+        np.add.at(self.counts, at, np.tile(signs, 3))
+        np.add.at(self.keys, at, np.tile(keys * factor, 3))
+        np.add.at(self.checks, at, np.tile(mixed(keys + _SALTS[3]) * factor, 3))
+        return at
+
+    def less(self, other: Tables, mine: np.ndarray, theirs: np.ndarray) -> Tables:
+        """Tables `mine` of this less `theirs` of the other, cell by cell; all of one size."""
+        left = Tables(3 * self.part[mine])
+        width = 3 * int(self.part[0])
+        for name in ("counts", "keys", "checks"):
+            a, b = getattr(self, name).reshape(-1, width), getattr(other, name).reshape(-1, width)
+            setattr(left, name, (a[mine] - b[theirs]).reshape(-1))
         return left
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests only in the first and only in the second table; None if the cells are too few to tell."""
-        found, signs = [], []
-        while True:
-            at = np.flatnonzero(np.abs(self.counts) == 1)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digests recovered with their tables and signs, and which tables have too few cells to tell all."""
+        owner_of = np.repeat(np.arange(len(self.part)), 3 * self.part)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cells = np.arange(len(self.counts))
+        while len(cells):
+            at = cells[np.abs(self.counts[cells]) == 1]
             factor = self.counts[at].astype(np.uint64)
             keys = self.keys[at] * factor
             alone = mixed(keys + _SALTS[3]) == self.checks[at] * factor
-            if not alone.any():
+            at, keys = at[alone], keys[alone]
+            owner = owner_of[at]
+            order = np.lexsort((keys, owner))
+            at, keys, owner = at[order], keys[order], owner[order]
+            once = np.ones(len(at), dtype=bool)
+            once[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            keys, owner, signs = keys[once], owner[once], self.counts[at[once]]
+            if not len(keys):
                 break
-            keys, first = np.unique(keys[alone], return_index=True)
-            sign = self.counts[at][alone][first]
-            found.append(keys)
-            signs.append(sign)
-            self._add(keys, -sign)
-        if self.counts.any() or self.keys.any() or self.checks.any():
-            return None
-        keys = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-        sign = np.concatenate(signs) if signs else np.empty(0, dtype=np.int64)
-        return keys[sign > 0], keys[sign < 0]
-
-    def text(self) -> str:
-        """The cells as base64: counters (32 bits), sums of digests (64) and of checks (32), little-endian."""
-        cells = (self.counts.astype("<i4"), self.keys.astype("<u8"), self.checks.astype("<u4"))
-        return base64.b64encode(b"".join(c.tobytes() for c in cells)).decode("ascii")
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph digests only in a and only in b, from tables that grow until they can be peeled."""
-    while True:
-        found = Sketch(a, cells).subtract(Sketch(b, cells)).peel()
-        if found is not None:
-            return found
-        cells *= 8
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of paragraphs that two texts have in common, 1 for two without any."""
-    if not len(a) + len(b):
-        return 1.0
-    only_a, only_b = difference(a, b)
-    return 1.0 - (len(only_a) + len(only_b)) / (len(a) + len(b))
-
-
-def compare(text: str, own: np.ndarray, next_text: str, next_own: np.ndarray) -> tuple[int, str, str, str, float, float]:
-    half = len(text) // 2
-    edited = text[: len(text) - half] + next_text[:half]
-    changed = paragraph_digests(edited)
-    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return (
-        len(text), digest, Sketch(own).text(), Sketch(changed).text(), likeness(own, changed), likeness(own, next_own)
-    )
+            found.append((keys, owner, signs))
+            # Only cells that have just lost a digest can hold a single one now.
+            cells = np.unique(self.add(keys, owner, -signs))
+        stuck = np.zeros(len(self.part), dtype=bool)
+        stuck[owner_of[(self.counts != 0) | (self.keys != 0) | (self.checks != 0)]] = True
+        keys, owner, signs = (np.concatenate(c) for c in zip(*found)) if found else (self.keys[:0], owner_of[:0], self.counts[:0])
+        return keys, owner, signs, stuck
+
+    def text(self, number: int) -> str:
+        """A table as base64: counters (32 bits), sums of digests (64) and of checks (32), little-endian."""
+        cells = slice(self.start[number], self.start[number + 1])
+        parts = (self.counts[cells].astype("<i4"), self.keys[cells].astype("<u8"), self.checks[cells].astype("<u4"))
+        return base64.b64encode(b"".join(p.tobytes() for p in parts)).decode("ascii")
+
+
+class Versions:
+    """Texts with their paragraph digests and fingerprints."""
+
+    def __init__(self, texts: list[str]):
+        self.keys, self.sizes = paragraphs_of(texts)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.tables = Tables(np.full(len(texts), CELLS))
+        self.tables.add(self.keys, np.repeat(np.arange(len(texts)), self.sizes))
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The digests of some texts, and to which of them each belongs."""
+        sizes = self.sizes[numbers]
+        owner = np.repeat(np.arange(len(numbers)), sizes)
+        return self.keys[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[numbers], sizes)], owner
+
+
+def differences(a: Versions, b: Versions, mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests in which pairs of texts differ, with the pair of each and 1 or -1 for the first or second text.
+
+    Fingerprints are subtracted first. Pairs whose difference they are too small to tell get tables of two cells per
+    paragraph of both texts, which is enough but for bad luck, against which tables double.
+    """
+    keys, owner, signs, stuck = a.tables.less(b.tables, mine, theirs).peel()
+    found = [(keys[~stuck[owner]], owner[~stuck[owner]], signs[~stuck[owner]])]
+    left = np.flatnonzero(stuck)
+    cells = 2 * (a.sizes[mine] + b.sizes[theirs]) + CELLS
+    while len(left):
+        tables = Tables(cells[left])
+        tables.add(*a.of(mine[left]))
+        tables.add(*b.of(theirs[left]), -1)
+        keys, owner, signs, stuck = tables.peel()
+        good = ~stuck[owner]
+        found.append((keys[good], left[owner[good]], signs[good]))
+        left = left[stuck]
+        cells *= 2
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def likeness(a: Versions, b: Versions, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Share of paragraphs that pairs of texts have in common, 1 for two without any."""
+    total = a.sizes[mine] + b.sizes[theirs]
+    apart = np.bincount(differences(a, b, mine, theirs)[1], minlength=len(mine))
+    return 1.0 - apart / np.maximum(total, 1)
+
+
+def changed_paragraphs(text: str, other: str) -> tuple[list[int], list[int]]:
+    """Digests of the paragraphs that only the first and only the second version of a text has."""
+    one = np.zeros(1, dtype=np.int64)
+    keys, _, signs = differences(Versions([text]), Versions([other]), one, one)
+    return keys[signs > 0].tolist(), keys[signs < 0].tolist()
+
+
+def compare(pairs: list[tuple[int | None, str, str]]) -> list[tuple]:
+    """Result rows for (doc_id, text, next text)."""
+    texts, own, following = [], [], []
+    for _, text, after in pairs:
+        if not texts or texts[-1] is not text:
+            texts.append(text)
+        own.append(len(texts) - 1)
+        texts.append(after)
+        following.append(len(texts) - 1)
+    edited = [text[: len(text) - len(text) // 2] + after[: len(text) // 2] for _, text, after in pairs]
+    before, changed = Versions(texts), Versions(edited)
+    own, following, every = np.array(own), np.array(following), np.arange(len(pairs))
+    near, apart = likeness(before, changed, own, every), likeness(before, before, own, following)
+    return [
+        (
+            doc_id, len(text), hashlib.sha256(edited[i].encode("utf-8", "surrogatepass")).hexdigest(),
+            before.tables.text(own[i]), changed.tables.text(i), float(near[i]), float(apart[i]),
+        )
+        for i, (doc_id, text, _) in enumerate(pairs)
+    ]
 
 
 def _slices(docs: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int | None]]]:
@@ -177,21 +253,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.repartition("slice").sortWithinPartitions("slice", "later", F.col("doc_id").desc_nulls_last(), "digest")
 
     def pair(batches: Batches) -> Batches:
-        held = None  # the row that waits for its next: slice, doc_id, text, paragraphs
+        held = None  # the row that waits for its next: slice, doc_id, text
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        pairs, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*compare(pairs)), kinds)], names)
+
         for batch in batches:
-            out = []
             columns = (batch[c].to_pylist() for c in ("slice", "later", "doc_id", "text"))
             for part, later, doc_id, text in zip(*columns):
                 if later and (held is None or held[0] != part):
                     continue  # the slice has met its next already
-                paragraphs = paragraph_digests(text)
                 if held is not None:
-                    out.append((held[1], *compare(held[2], held[3], text, paragraphs)))
-                held = None if later else (part, doc_id, text, paragraphs)
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    pairs.append((held[1], held[2], text))
+                    size += len(held[2])
+                    if size >= TOGETHER:
+                        yield done()
+                        pairs, size = [], 0
+                held = None if later else (part, doc_id, text)
+        if pairs:
+            yield done()
 
     return map_rows(
         rows.select("slice", "later", "doc_id", "text"), pair,
@@ -199,8 +282,3 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "near_edited double, near_next double",
     )
 
-
-def changed_paragraphs(text: str, other: str) -> tuple[list[int], list[int]]:
-    """Digests of the paragraphs that only the first and only the second version of a text has."""
-    only_a, only_b = difference(paragraph_digests(text), paragraph_digests(other))
-    return only_a.tolist(), only_b.tolist()

@@ -5,24 +5,44 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from flowsight.llm.sketches import Sketch, changed_paragraphs, difference, fingerprints, likeness, paragraph_digests
+from flowsight.llm.sketches import Tables, Versions, changed_paragraphs, differences, fingerprints, paragraph_digests, paragraphs_of
 
 
-@pytest.mark.parametrize(("shared", "only_a", "only_b"), [(0, 0, 0), (5, 0, 1), (100, 3, 2), (1000, 40, 0), (0, 300, 300), (20, 0, 2000)])
-def test_peeling_finds_the_difference(shared, only_a, only_b):
-    keys = np.random.default_rng(shared + only_a).integers(0, 1 << 63, shared + only_a + only_b, dtype=np.uint64)
-    a, b = keys[: shared + only_a], np.concatenate((keys[:shared], keys[shared + only_a :]))
-    found = difference(a, b)
-    assert set(found[0].tolist()) == set(a.tolist()) - set(b.tolist())
-    assert set(found[1].tolist()) == set(b.tolist()) - set(a.tolist())
+def versions(*key_sets):
+    made = Versions([""] * len(key_sets))
+    made.keys = np.concatenate(key_sets)
+    made.sizes = np.array([len(k) for k in key_sets])
+    made.first = np.cumsum(made.sizes) - made.sizes
+    made.tables.add(made.keys, np.repeat(np.arange(len(key_sets)), made.sizes))
+    return made
+
+
+def test_peeling_finds_all_differences_of_many_pairs():
+    rng = np.random.default_rng(1)
+    pairs = []
+    for shared, only_a, only_b in [(0, 0, 0), (5, 0, 1), (100, 3, 2), (1000, 40, 0), (0, 300, 300), (20, 0, 2000), (3, 1, 1)]:
+        keys = rng.integers(0, 1 << 63, shared + only_a + only_b, dtype=np.uint64)
+        pairs.append((keys[: shared + only_a], np.concatenate((keys[:shared], keys[shared + only_a :]))))
+    every = np.arange(len(pairs))
+    keys, owner, signs = differences(versions(*(a for a, _ in pairs)), versions(*(b for _, b in pairs)), every, every)
+    for i, (a, b) in enumerate(pairs):
+        assert set(keys[(owner == i) & (signs == 1)].tolist()) == set(a.tolist()) - set(b.tolist())
+        assert set(keys[(owner == i) & (signs == -1)].tolist()) == set(b.tolist()) - set(a.tolist())
 
 
 def test_a_table_too_small_says_so():
-    keys = np.arange(1, 500, dtype=np.uint64)
-    assert Sketch(keys, 15).subtract(Sketch(keys[:0], 15)).peel() is None
+    tables = Tables(np.array([15, 15]))
+    tables.add(np.arange(1, 500, dtype=np.uint64), np.zeros(499, dtype=np.int64))
+    tables.add(np.array([7], dtype=np.uint64), np.ones(1, dtype=np.int64))
+    keys, owner, _, stuck = tables.peel()
+    assert stuck.tolist() == [True, False] and keys[owner == 1].tolist() == [7]
 
 
 def test_paragraphs():
+    texts = ["one. two\nthree", "", " \n", "one. two", "x " * 300, "three"]
+    together, sizes = paragraphs_of(texts)
+    assert sizes.tolist() == [len(paragraph_digests(t)) for t in texts]
+    assert together.tolist() == [k for t in texts for k in paragraph_digests(t).tolist()]
     assert len(paragraph_digests("")) == len(paragraph_digests(" \n ")) == 0
     one, two = paragraph_digests("first line\nsecond line"), paragraph_digests("second line\nfirst line\nfirst line")
     assert set(one.tolist()) < set(two.tolist()) and len(two) > len(one)
@@ -31,14 +51,17 @@ def test_paragraphs():
 
 
 def plain(rows):
+    """Everything by plain sets of paragraphs."""
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    sets = lambda text: set(paragraph_digests(text).tolist())
+    near = lambda a, b: 1 - len(sets(a) ^ sets(b)) / (len(sets(a)) + len(sets(b))) if sets(a) or sets(b) else 1.0
     out = Counter()
     for i, (d, text) in enumerate(ordered):
         own, follows = text or "", ordered[(i + 1) % len(ordered)][1] or ""
         half = len(own) // 2
         edited = own[: len(own) - half] + follows[:half]
-        near = round(likeness(paragraph_digests(own), paragraph_digests(edited)), 9)
-        out[d, len(own), hashlib.sha256(edited.encode()).hexdigest(), near] += 1
+        digest = hashlib.sha256(edited.encode()).hexdigest()
+        out[d, len(own), digest, round(near(own, edited), 9), round(near(own, follows), 9)] += 1
     return out
 
 
@@ -49,7 +72,7 @@ def test_equals_plain_version(docs_of, count):
     if count > 2:
         rows += [(2000, None), (2001, ""), (None, "no id"), (2002, "long " * 40_000), (2003, rows[0][1])]
     found = fingerprints(docs_of(rows)).collect()
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9)) for r in found) == plain(rows)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == plain(rows)
     if count > 2:
         by_id = {r.doc_id: r for r in found}
         assert by_id[2003].fingerprint == by_id[rows[0][0]].fingerprint
