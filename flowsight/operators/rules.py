@@ -37,6 +37,7 @@ class RuleModel:
     aggregation: str = "sum"
     clip: tuple[float, float] = (0.0, 1.0)
     bias: float = 0.0
+    name: str = "rules"
 
     @classmethod
     def from_json(cls, text: str) -> "RuleModel":
@@ -54,7 +55,7 @@ class RuleModel:
     def on(self, prefix: str) -> "RuleModel":
         """The same model over columns with a prefix."""
         moved = [Rule(prefix + r.feature, r.op, r.value, r.weight) for r in self.rules]
-        return RuleModel(moved, self.aggregation, self.clip, self.bias)
+        return RuleModel(moved, self.aggregation, self.clip, self.bias, self.name)
 
     def missing_features(self, df: DataFrame) -> list[str]:
         return sorted({r.feature for r in self.rules} - set(df.columns))
@@ -72,6 +73,11 @@ class RuleModel:
         return F.greatest(F.lit(low), F.least(F.lit(high), total + F.lit(self.bias)))
 
 
+    def predict(self, df: DataFrame, identity: str = "flow_id") -> DataFrame:
+        """(identity, model, p) under the model's name, as every detector gives it."""
+        return rule_score(df, self).select(identity, F.lit(self.name).alias("model"), "p")
+
+
 # The standard rule model.
 STANDARD_RULES = RuleModel([
     Rule("PacketLengthMean", ">", 400.0, 0.6),

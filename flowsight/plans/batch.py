@@ -115,6 +115,17 @@ def rule_score(spark, folder):
     return shown(rules.rule_score(a.event_flows(spark, folder)), "flow_id", rounded=("p",))
 
 
+@query("detectors_together", f"""WITH {q.EVENT_FLOWS}, {RULE_SCORE_SQL}, both_models AS (SELECT flow_id, 'rules' AS model, p, CAST(0.5 AS DOUBLE) AS threshold FROM rs
+ UNION ALL SELECT flow_id, 'long packets', CASE WHEN PacketLengthMean > 300 THEN 0.9 ELSE 0.0 END, CAST(0.8 AS DOUBLE) FROM flow_table)
+ SELECT flow_id, model, round(p, 4) + 0.0 AS p, threshold, CASE WHEN p >= threshold THEN 1 ELSE 0 END AS pred FROM both_models""")
+def detectors_together(spark, folder):
+    """Two rule models and a detector that the table has no columns for, by one call."""
+    simple = rules.RuleModel([rules.Rule("PacketLengthMean", ">", 300.0, 0.9)], name="long packets")
+    foreign = rules.RuleModel([rules.Rule("NoSuchColumn", ">", 1.0)], name="foreign")
+    found = decide.detect(a.event_flows(spark, folder), [rules.STANDARD_RULES, foreign, simple], {"long packets": 0.8})
+    return found.select("flow_id", "model", r4(F.col("p")).alias("p"), "threshold", "pred")
+
+
 MEAN_RULES = rules.RuleModel([
     rules.Rule("PacketLengthMean", ">=", 400.0, 0.6), rules.Rule("PacketTimeMode", "==", 0.0, 0.5),
     rules.Rule("ResponseTimeTimeMedian", "!=", -1.0, 0.4), rules.Rule("FlowBytesSent", "<=", 1000.0),

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from flowsight.operators import decide
 from flowsight.operators.rules import (
@@ -70,3 +71,17 @@ def test_sequence_report(spark):
     got = {r.file: r for r in sequence_report(df).collect()}
     assert (got["f.json"].avg_payload, got["f.json"].freq_pps, got["f.json"].volume_bps, got["f.json"].suspicious) == (250.01, 1.0, 250.01, True)
     assert got["bad.json"].error == "Empty" and got["bad.json"].suspicious is None
+
+
+def test_detectors_share_one_call(spark):
+    class Own:
+        def predict(self, df, identity="flow_id"):
+            return df.select(identity, F.lit("own").alias("model"), F.lit(0.7).alias("p"))
+
+    df = spark.createDataFrame([("a", 500.0), ("b", 100.0)], "flow_id string, PacketLengthMean double")
+    long = RuleModel([Rule("PacketLengthMean", ">", 400.0, 0.9)], name="long")
+    absent = RuleModel([Rule("Nothing", ">", 0.0)], name="absent")
+    found = {(r.flow_id, r.model, r.pred) for r in decide.detect(df, [long, absent, Own()], {"own": 0.8}).collect()}
+    assert found == {("a", "long", 1), ("b", "long", 0), ("a", "own", 0), ("b", "own", 0)}
+    with pytest.raises(ValueError):
+        decide.detect(df, [absent])
