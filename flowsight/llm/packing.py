@@ -205,7 +205,8 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id:
 
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place")).drop("part", "place", "before")
+    # Stored small, this table is large in memory, and it grows with the number of tasks: never broadcast.
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("place")).drop("part", "place", "before")
     return map_rows(
         ranked, place,
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint", 10_000,
