@@ -169,13 +169,13 @@ def labelled_samples(docs: DataFrame, total_chars: int = 80_000, most_chars: int
     """Sample text per language: at most total_chars in all, at most most_chars of a document.
 
     Documents are taken in the order of a digest of their text, so the sample is spread over the table and the same on
-    every run. Rows that are held out or have no language or text are not used. The sample is the only thing that is
-    bounded; it fits the model, which then reads every text whole.
+    every run. Rows that are held out or have no language or text are not used; with no other rows there is no sample. The
+    sample is the only thing that is bounded; it fits the model, which then reads every text whole.
     """
     usable = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     languages = usable.select("lang").distinct().count()
     if not languages:
-        raise ValueError("no labelled text outside the held-out part")
+        return {}
     chars = max(1, total_chars // languages)
     # Texts of at least most_chars characters fill the sample after this many rows, shorter ones later.
     rows = max(8, 8 * chars // most_chars)
@@ -193,15 +193,15 @@ def identify(docs: DataFrame, samples: dict[str, str], keep: list[str] | None =
 
     lang_pred is a language of the samples, or und if the text is null or has no letter; score (0 to 1) tells how far the
     second language is behind. Ties go to the first language by name. Columns of docs named lang_pred or score are
-    replaced. Empty table: no rows. Whole texts are parsed, in blocks of BLOCK characters.
+    replaced. Empty table: no rows. Whole texts are parsed, in blocks of BLOCK characters. Without samples every text is und.
     """
     kept = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     pairs = tuple(sorted(samples.items()))
 
     def predict(batches: Batches) -> Batches:
-        model = _model(pairs)
         for batch in batches:
-            found = model.predict(batch["text"].to_pylist())
+            texts = batch["text"].to_pylist()
+            found = _model(pairs).predict(texts) if pairs else [("und", 0.0)] * len(texts)
             languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.record_batch([*(batch[c] for c in kept), languages, scores], [*kept, "lang_pred", "score"])
 

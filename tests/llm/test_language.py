@@ -78,8 +78,8 @@ def test_held_out_rows_teach_nothing(spark, docs_of):
     assert set(sample) == {"xx"} and set(sample["xx"].split("\n")) <= taught
     held = spark.range(40).where(is_held_out(F.col("id"))).collect()
     assert {r.id for r in held} == {d for d in range(40) if zlib.crc32(str(d).encode()) % 4 == 2}
-    with pytest.raises(ValueError):
-        labelled_samples(docs_of([]))
+    assert labelled_samples(docs_of([])) == {}
+    assert {(r.lang_pred, r.score) for r in identify(docs_of(rows), {}).collect()} == {("und", 0.0)}
 
 
 def test_held_out_accuracy(spark):

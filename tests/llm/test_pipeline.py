@@ -39,6 +39,15 @@ def test_stages(spark, docs_of, tmp_path):
     assert final == {(r.doc_id, r.length, r.ids_crc32) for r in pack(kept).collect()}
 
 
+def test_no_documents_and_no_labels(spark, docs_of, tmp_path):
+    spark.createDataFrame([(1, "some item of a benchmark with words")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs_of([]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    unlabelled = docs_of([(1, "letters", None), (2, "12 34", None), (3, None, None)])
+    kept = corpus_pipeline.keep_known_languages(spark, unlabelled, str(tmp_path)).collect()
+    assert [(r.doc_id, r.lang) for r in kept] == [(1, None)]
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names
