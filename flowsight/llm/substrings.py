@@ -82,15 +82,16 @@ def edges(keyed: DataFrame, span: int, k: int) -> DataFrame:
 
 def _verdicts(found: DataFrame) -> DataFrame:
     """Per document the places of edges on repeated paths (sure) and of those that need a comparison of windows (open)."""
-    seen = found.groupBy("edge").agg(
+    # Aggregates are stored before they are joined: Spark splits hot keys only in joins of freshly shuffled rows.
+    seen = stored(found.groupBy("edge").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
         F.min("context").alias("low"), F.max("context").alias("high"),
-    ).where("least < most").select("edge", "least", (F.col("low") == F.col("high")).alias("straight"))
+    ).where("least < most").select("edge", "least", (F.col("low") == F.col("high")).alias("straight")))
     repeated = stored(found.join(seen, "edge"))
     # Paths without a branch: every source but the smallest repeats it.
     straight = repeated.where("straight and doc_id > least").select("doc_id", "digest", "pos", F.lit(True).alias("sure"))
     branching = repeated.where("not straight").drop("straight", "least")
-    first = branching.groupBy("edge", "context").agg(F.min("doc_id").alias("first"))
+    first = stored(branching.groupBy("edge", "context").agg(F.min("doc_id").alias("first")))
     forks = branching.join(first, ["edge", "context"]).select(
         "doc_id", "digest", "pos", (F.col("doc_id") > F.col("first")).alias("sure")
     )
@@ -196,7 +197,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 12, digest_only: bo
     each = unsure.select("doc_id", "row", F.explode(F.arrays_zip("windows", "h1", "h2")).alias("w")).select(
         "doc_id", "row", F.col("w.windows").alias("pos"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2")
     )
-    first = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    ends = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    first = stored(ends.where("least < most"))
     hits = each.join(first, ["h1", "h2"]).where("doc_id > least").groupBy("row").agg(F.collect_list("pos").alias("hits"))
 
     def finish(batches: Batches) -> Batches:
