@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -126,21 +127,17 @@ class Encoder:
         """The ids of each text as unsigned 32-bit integers."""
         cut = [_PIECES.findall(text) for text in texts]
         known = self.known
-        missing = list(dict.fromkeys(piece for pieces in cut for piece in pieces if piece not in known))
-        new: dict[str, bytes] = {}
+        room = self.remembered - len(known)
+        missing = [piece for piece in dict.fromkeys(chain.from_iterable(cut)) if piece not in known]
         for at in range(0, len(missing), 20_000):
-            new.update(self._encode(missing[at : at + 20_000]))
+            known.update(self._encode(missing[at : at + 20_000]))
+        found = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=np.uint32) for pieces in cut]
         for piece in missing:
-            if len(known) >= self.remembered:
-                break
-            if len(piece) <= 64:
-                known[piece] = new.pop(piece)
-        if not new:
-            return [np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.uint32) for pieces in cut]
-        return [
-            np.frombuffer(b"".join([known[p] if p in known else new[p] for p in pieces]), dtype=np.uint32)
-            for pieces in cut
-        ]
+            if room > 0 and len(piece) <= 64:
+                room -= 1
+            else:
+                del known[piece]
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}

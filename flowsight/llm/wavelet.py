@@ -30,7 +30,7 @@ _HEADER = struct.Struct("<8s8I")
 def encode_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, end_id: int = 0) -> bytes:
     """The file of a shard: ids of its documents one after the other, each document's length with its end id."""
     planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
-    coder = zstandard.ZstdCompressor(level=3)
+    coder = zstandard.ZstdCompressor(level=1)
     parts = []
 
     def add(*arrays: np.ndarray) -> None:
