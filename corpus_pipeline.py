@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowsight.llm.common import documents, stored
 from flowsight.llm.language import identify, labelled_samples
 from flowsight.llm.leaks import find_leaks
-from flowsight.llm.near import near_copies
 from flowsight.llm.packing import pack
 from flowsight.llm.secrets import redact
+from flowsight.llm.simhash import near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,19 +28,35 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+#: A number per row of a stage's input, which stands for doc_id where that is null or occurs more than once.
+ROW = "_pipeline_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number per row, stored, so that every later reading sees the same numbers."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of each group linked by a five-word shingle similarity of at least 0.8 the smallest doc_id stays."""
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    # Of rows that share a doc_id one stays; the join has brought them together.
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Near-dedup: of each group of documents whose fingerprints link by at most four bits one row stays.
+
+    It is the one with the smallest doc_id, rows with a null doc_id coming last. Rows that share a doc_id but not a group all stay.
+    """
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), most=4, width=4)
+    groups = rows.select(ROW, "doc_id").join(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group")), ROW)
+    first = F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    kept = stored(groups.groupBy("_group").agg(first.alias(ROW)).select(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Decontamination: documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Decontamination: rows that hold a benchmark item go, and no others, whatever their doc_id."""
+    rows = numbered(docs)
+    leaks = find_leaks(rows.select(F.col(ROW).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     # Stored, so that Spark knows their size before it decides whether to move the texts.
-    found = stored(leaks.select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = stored(leaks.select(F.col("doc_id").alias(ROW)).distinct())
+    return rows.join(found, ROW, "left_anti").select(*docs.columns)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,15 +77,12 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: Automata, min-hash bands, latent search, lexing and tokenizers are beyond SQL.
+#: Automata, fingerprints, latent search, lexing and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what each returns is stored and read again by the next.
-
-    Rows with a null doc_id: near-dedup drops them, as a document without an identity cannot be the one that stays.
-    """
+    """Apply the stages to documents; what each returns is stored and read again by the next."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
