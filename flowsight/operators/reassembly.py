@@ -4,8 +4,8 @@ A session may hold any share of the chunks. Chunks are combined per (session, in
 meets, then joined in blocks of a fixed number of indexes. A payload longer than PIECE_CHARS is
 returned in aligned pieces, one row each, whose bytes in order are the payload; no row holds more.
 
-A session id can carry several transfers one after the other: a transfer ends when the chunks seen are exactly those
-its first chunk announced, and what follows under the same id is the next one.
+A session id can carry several transfers one after the other; module transfers states the rule by which one ends and
+the next begins.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from flowsight.functions.names import KEYWORDS, chunk_fields, has_parent, is_chu
 from flowsight.functions.numeric import epoch_us
 from flowsight.functions.signatures import file_type
 from flowsight.operators.ordered import shared
+from flowsight.operators.transfers import copies_of_the_one_before, number_transfers
 from flowsight.runtime import cut_lineage
 
 BLOCK_CHUNKS = 4096
@@ -60,50 +61,49 @@ def _arrival(df: DataFrame) -> DataFrame:
     })
 
 
-def _finished(latest: DataFrame, keys: list[str]) -> DataFrame:
-    """Sessions whose first transfer ended before their last chunk came: (keys, ended), ended an arrival (us, seq)."""
+def _went_on(latest: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of sessions in which something arrived after their first transfer had ended; None if there are none."""
     came = F.struct(F.col("first.us").alias("us"), F.col("first.seq").alias("seq"))
     sessions = latest.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max("idx").alias("max_idx"), F.min("first").alias("start"),
+        F.count(F.lit(1)).alias("n"), F.max("idx").alias("max_idx"), F.min("first").alias("start"), F.sum("arrivals").alias("arrivals"),
         F.max(came).alias("whole"), F.max("last").alias("last"),
     ).withColumn("total", F.col("start.total"))
+    # Only sessions with all announced indexes and something more can have gone on. They are stored, so that Spark knows how
+    # few they are.
+    more = (F.col("arrivals") > F.col("n")) | (F.col("n") > F.col("total"))
+    candidates = cut_lineage(sessions.where(more & (F.col("n") >= F.col("total")) & (F.col("total") > 0)))
+    if candidates.isEmpty():
+        return None
     clean = (F.col("n") == F.col("total")) & (F.col("max_idx") == F.col("total") - 1)
-    plain = sessions.where(clean & (F.col("last") > F.col("whole"))).select(*keys, F.col("whole").alias("ended"))
-    # Where indexes outside the announced ones came too, they must have come after the transfer was whole. Only sessions
-    # that could be whole are looked at, which are stored so that Spark knows how few they are.
-    strange = cut_lineage(sessions.where(
-        (F.col("n") > F.col("total")) & (F.col("max_idx") >= F.col("total")) & (F.col("total") > 0)
-    ).select(*keys, "total"))
+    plain = candidates.where(clean & (F.col("last") > F.col("whole"))).select(*keys)
+    # Where indexes outside the announced ones came too, they must have come after the transfer was whole.
+    strange = candidates.where("n > total and max_idx >= total").select(*keys, "total")
     inside = F.col("idx") < F.col("total")
     judged = latest.join(strange, keys).groupBy(*keys, "total").agg(
         F.count_if(inside).alias("n"), F.max(F.when(inside, came)).alias("whole"), F.min(F.when(~inside, came)).alias("stray"),
     )
-    late = judged.where((F.col("n") == F.col("total")) & (F.col("stray") > F.col("whole")))
-    return plain.unionByName(late.select(*keys, F.col("whole").alias("ended")))
+    late = judged.where((F.col("n") == F.col("total")) & (F.col("stray") > F.col("whole"))).select(*keys)
+    return cut_lineage(plain.unionByName(late))
 
 
 def transfer_chunks(chunks: DataFrame, key: str = "source") -> DataFrame:
     """As latest_chunks, per transfer: the number (from 0) of a transfer in its session is in column transfer.
 
-    The latest chunks of whole sessions are stored, and aggregates of first arrivals over them tell which sessions went on
-    after a transfer had ended. Only the chunks of those are read again, round by round.
+    Most sessions carry one transfer. Their latest chunks are stored, and aggregates over them tell which sessions went on
+    after a transfer had ended; only the arrivals of those are numbered one by one. Copies of the transfer before them
+    keep their number but give no rows.
     """
     keys = session_keys(key)
     latest = cut_lineage(latest_chunks(chunks, keys=keys))
-    ended = cut_lineage(_finished(latest, keys))
-    numbered = lambda df, number: df.withColumn("transfer", F.lit(number))
-    if ended.isEmpty():
-        return numbered(latest, 0)
-    found = numbered(latest.join(ended.select(*keys), keys, "left_anti"), 0)
-    later = F.col("ended").isNotNull() & (F.struct("us", "seq") > F.col("ended"))
-    rows, number = cut_lineage(_arrival(chunks).join(ended, keys)), 0
-    while True:
-        found = found.unionByName(numbered(latest_chunks(rows.where(~later), keys=keys), number))
-        rest = cut_lineage(rows.where(later).drop("ended"))
-        if rest.isEmpty():
-            return found
-        ended = cut_lineage(_finished(latest_chunks(rest, keys=keys), keys))
-        rows, number = cut_lineage(rest.join(ended, keys, "left")), number + 1
+    went_on = _went_on(latest, keys)
+    if went_on is None:
+        return latest.withColumn("transfer", F.lit(0))
+    single = latest.join(went_on, keys, "left_anti").withColumn("transfer", F.lit(0))
+    arrivals = _arrival(chunks).join(went_on, keys, "left_semi").select(*keys, "us", "seq", "idx", "total", "chunk")
+    several = cut_lineage(latest_chunks(number_transfers(arrivals, keys), keys=[*keys, "transfer"]))
+    copies = copies_of_the_one_before(several, keys)
+    several = several.join(copies, [*keys, "transfer"], "left_anti")
+    return single.unionByName(several)
 
 
 def transfer_keys(key: str) -> list[str]:

@@ -177,6 +177,47 @@ sess AS (
   FROM latest JOIN firsts USING (src_ip, session_id) GROUP BY ALL
 )"""
 
+#: CTEs after chunk_rows, in a WITH RECURSIVE: transfers, one row per whole transfer that is no copy of the one before it.
+TRANSFERS = """
+followed AS (
+  SELECT *, lag(row(idx, total, chunk)) OVER (PARTITION BY src_ip, session_id ORDER BY us, seq, idx, total, chunk) AS repeated FROM chunk_rows
+),
+placed AS (
+  SELECT src_ip, session_id, us, seq, idx, total, chunk,
+    row_number() OVER (PARTITION BY src_ip, session_id ORDER BY us, seq, idx, total, chunk) AS place
+  FROM followed WHERE repeated IS DISTINCT FROM row(idx, total, chunk)
+),
+opened AS (
+  SELECT DISTINCT src_ip, session_id, 0 AS transfer, CAST(1 AS BIGINT) AS begins FROM placed
+  UNION ALL
+  SELECT src_ip, session_id, transfer + 1, max(seen) FILTER (WHERE idx < want) + 1
+  FROM (
+    SELECT o.src_ip, o.session_id, o.transfer, f.total AS want, p.idx, min(p.place) AS seen
+    FROM opened o JOIN placed f ON f.src_ip = o.src_ip AND f.session_id = o.session_id AND f.place = o.begins
+    JOIN placed p ON p.src_ip = o.src_ip AND p.session_id = o.session_id AND p.place >= o.begins GROUP BY ALL
+  )
+  GROUP BY src_ip, session_id, transfer, want
+  HAVING count(*) FILTER (WHERE idx < want) = want
+    AND max(seen) FILTER (WHERE idx < want) < coalesce(min(seen) FILTER (WHERE idx >= want), 1000000000000)
+),
+owned AS (
+  SELECT p.*, o.transfer FROM placed p ASOF JOIN opened o
+    ON p.src_ip = o.src_ip AND p.session_id = o.session_id AND p.place >= o.begins
+),
+newest AS (
+  SELECT src_ip, session_id, transfer, idx, arg_max(chunk, place) AS chunk, min(us) AS first_us,
+    min(row(place, total)) AS opener FROM owned GROUP BY ALL
+),
+every AS (
+  SELECT src_ip, session_id, transfer, count(*) AS n, max(idx) AS max_idx, min(opener)[2] AS total, min(first_us) AS first_us,
+    list(chunk ORDER BY idx) AS parts FROM newest GROUP BY ALL
+),
+transfers AS (
+  SELECT * FROM every e WHERE n = total AND max_idx = total - 1 AND NOT EXISTS (
+    SELECT 1 FROM every b WHERE b.src_ip = e.src_ip AND b.session_id = e.session_id AND b.transfer = e.transfer - 1 AND b.parts = e.parts
+  )
+)"""
+
 PAGE_REQUESTS = """
 http AS (
   SELECT host, '/dns-query?type=A&page=' || page || '&name=' || CASE WHEN page <> '' THEN host ELSE '' END AS path,

@@ -461,15 +461,15 @@ def reassemble_repeated_sessions(spark, folder):
     return found.select("src_ip", "session_id", F.col("transfer").cast("bigint").alias("transfer"), "payload_id")
 
 
-@query("reassemble_last_write_wins", f"""WITH {q.DAMAGED_QUERIES}, {q.chunks('dns')}, {q.SESSIONS}
- SELECT src_ip, session_id, md5(txt) AS text_md5, length(txt) AS chars FROM sess WHERE received = total AND max_idx = total - 1""")
+@query("reassemble_last_write_wins", f"""WITH RECURSIVE {q.DAMAGED_QUERIES}, {q.chunks('dns')}, {q.TRANSFERS}
+ SELECT src_ip, session_id, md5(array_to_string(parts, '')) AS text_md5, length(array_to_string(parts, '')) AS chars FROM transfers""")
 def reassemble_last_write_wins(spark, folder):
     texts = reassembly.session_texts(a.damaged_queries(spark, folder), piece_chars=None)
     return texts.select("src_ip", "session_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
 
 
-@query("reassemble_by_session_id", f"""WITH {q.DAMAGED_QUERIES}, {q.chunks('dns')}, {q.SESSIONS}
- SELECT session_id, received AS chunks, first_us AS started_us FROM sess WHERE received = total AND max_idx = total - 1""")
+@query("reassemble_by_session_id", f"""WITH RECURSIVE {q.DAMAGED_QUERIES}, {q.chunks('dns')}, {q.TRANSFERS}
+ SELECT session_id, n AS chunks, first_us AS started_us FROM transfers""")
 def reassemble_by_session_id(spark, folder):
     found = reassembly.reassemble(a.damaged_queries(spark, folder), key="session", decode_mode="cascade")
     return found.select("session_id", "chunks", "started_us")

@@ -2,6 +2,7 @@ import base64
 import contextlib
 import hashlib
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from flowsight.functions.codec import alphabet_of, decode_as, decode_cascade
 from flowsight.functions.signatures import file_type
 from flowsight.operators.reassembly import (
-    identify, malformed, missing_ranges, parse_chunks, progress, reassemble, suspicious, transfer_stats,
+    identify, malformed, missing_ranges, parse_chunks, progress, reassemble, session_texts, suspicious, transfer_stats,
 )
 from flowsight.sources.sinks import export_payload_files, payload_table
 
@@ -79,6 +80,61 @@ def test_transfers_one_after_the_other(spark):
     assert [(r.transfer, bytes(r.payload)) for r in found] == [(0, texts[1])]
 
 
+def plain_transfers(rows):
+    """(source, session, transfer, text) by the rule of module transfers, one arrival after the other."""
+    state, out = {}, []
+    for source, name in rows:
+        session, idx, total, chunk = re.match(r"(\d+)-(\d+)-(\d+)-([^.]+)", name).groups()
+        idx, total = int(idx), int(total)
+        s = state.setdefault((source, session), {"open": None, "number": 0, "last": None, "whole": None})
+        if s["last"] == (idx, total, chunk):
+            continue
+        s["last"] = (idx, total, chunk)
+        if s["open"] is None:
+            s["open"], s["total"] = {}, total
+        s["open"][idx] = chunk
+        if sorted(s["open"]) == list(range(s["total"])):
+            if s["open"] != s["whole"]:
+                out.append((source, session, s["number"], "".join(s["open"][i] for i in sorted(s["open"]))))
+            s["whole"], s["open"], s["number"] = s["open"], None, s["number"] + 1
+    return sorted(out)
+
+
+def batch_transfers(frame):
+    texts = session_texts(frame, piece_chars=None).collect()
+    return sorted((r.src_ip, r.session_id, r.transfer, r.text) for r in texts)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_transfers_follow_the_rule(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for source in "ab":
+        for session in range(3):
+            totals, here = rng.choice([[1], [2], [1, 2], [2, 3], [3, 4, 5]]), []
+            for _ in range(rng.randint(5, 60)):
+                total = rng.choice(totals)
+                stray = 1 if rng.random() < 0.03 else 0
+                name = f"{session}-{rng.randrange(total + stray)}-{total}-{rng.choice('AB')}.leak.local"
+                here += [name] * (3 if rng.random() < 0.1 else 1)
+            rows += [(source, n) for n in here]
+    rng.shuffle(rows)
+    assert batch_transfers(events(spark, rows)) == plain_transfers(rows)
+
+
+def test_many_resends(spark):
+    """A name sent again and again is one payload; two names in turn are a payload each time, found in log-many rounds."""
+    again = spark.range(100_000).select(
+        F.timestamp_micros(F.col("id") * 1000).alias("ts"), F.lit("a").alias("src_ip"), F.lit("4-0000-0001-aGVs.exfill.local").alias("qname"),
+        F.col("id").alias("seq"),
+    )
+    found = reassemble(again).collect()
+    assert [(r.transfer, bytes(r.payload)) for r in found] == [(0, b"hel")]
+    turns = again.limit(5000).withColumn("qname", F.when(F.col("seq") % 2 == 0, F.col("qname")).otherwise(F.lit("4-0000-0001-bG8.exfill.local")))
+    counted = session_texts(turns).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.max("transfer").alias("last")).collect()
+    assert sorted(tuple(r) for r in counted) == [("aGVs", 2500, 4998), ("bG8", 2500, 4999)]
+
+
 def test_session_key(spark):
     one, two = names("5", b"first payload"), names("5", b"other payload")
     both = [("a", n) for n in one] + [("b", n) for n in two]
