@@ -54,7 +54,7 @@ def session_keys(key: str) -> list[str]:
 def _arrival(df: DataFrame) -> DataFrame:
     if "us" in df.columns:
         return df
-    seq = F.col("seq").cast("bigint") if "seq" in df.columns else F.lit(0).cast("bigint")
+    seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(0)) if "seq" in df.columns else F.lit(0).cast("bigint")
     return df.withColumns({
         "src_ip": F.coalesce(F.col("src_ip"), F.lit("unknown")),
         "us": F.coalesce(epoch_us(F.col("ts")), F.lit(0)), "seq": seq,

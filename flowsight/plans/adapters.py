@@ -176,6 +176,17 @@ def repeated_queries(spark: SparkSession, folder: str) -> DataFrame:
     return once.unionByName(again).select("ts", "src_ip", "qname", "seq")
 
 
+def slow_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """As document_queries; documents 5n + 1 pause for 40 seconds after every 20 chunks, and documents 5n + 2 send a chunk every 7 seconds."""
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    names = _chunk_names(documents, to_base64url(F.encode("text", "utf-8")))
+    kind, start, idx = F.col("doc_id") % 5, F.lit(FIRST_MOMENT_US) + F.col("doc_id") * 60_000_000, F.col("idx").cast("bigint")
+    us = F.when(kind == 1, F.unix_micros("ts") + F.floor(idx / 20) * 40_000_000).when(
+        kind == 2, start + idx * 7_000_000
+    ).otherwise(start + idx * 1000)
+    return names.withColumn("ts", F.timestamp_micros(us)).select("ts", "src_ip", "qname", "seq")
+
+
 def joined_queries(spark: SparkSession, folder: str) -> DataFrame:
     """All documents of a language as one hex transfer under the session id 7, in the order of doc_id."""
     documents = spread(table(spark, folder, "documents"), "doc_id").where(F.octet_length("text") > 0)

@@ -138,6 +138,13 @@ dns AS (
   SELECT us - 1000, src_ip, printf('%d-0000-%04d-WRONG.exfill.local', doc_id, total), seq
   FROM whole WHERE lang = 'fr' AND idx = 0
 )"""
+SLOW_QUERIES = chunk_names(BASE64URL, "whole") + """,
+slow AS (
+  SELECT CASE doc_id % 5 WHEN 1 THEN us + idx // 20 * 40000000 WHEN 2 THEN us + idx * 6750000 ELSE us - idx * 249000 END AS us,
+    src_ip, qname, seq FROM whole
+)"""
+# A transfer holds for 300 seconds: 43 chunks that come every 7 seconds, the next one is too late.
+SLOW_AGE_US = 43 * 7_000_000
 PAGE_QUERIES = """
 pages_dns AS (
   SELECT CAST(1700000000000000 + page_id * 1000000 AS BIGINT) AS us, '10.3.0.1' AS src_ip,

@@ -1,12 +1,20 @@
+import os
+import random
+import sys
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowsight.plans.live import finish, run_to_table, work_folder
 from flowsight.operators.meter import meter
 from flowsight.streaming.detect import open_windows, stream_counters
 from flowsight.streaming.meter import finish_meter, stream_meter, write_batches
-from flowsight.streaming.reassemble import stream_reassemble, use_disk_state
+from flowsight.streaming.reassemble import Session, stream_reassemble, use_disk_state
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from test_reassembly import plain_transfers  # noqa: E402
 
 START = datetime(2025, 1, 1, tzinfo=timezone.utc)
 
@@ -23,17 +31,62 @@ def stored(spark, folder, name, rows, schema, files=1):
     return stream, path
 
 
+QUERIES = "ts timestamp, src_ip string, qname string, seq long"
+
+
 def test_sessions_complete_once_and_expire(spark, tmp_path):
     use_disk_state(spark)
     names = ["1-0-2-aGVs.exfill.local", "1-0-2-aGVs.exfill.local", "2-0-3-AAAA.exfill.local", "1-1-2-bG8.exfill.local", "plain.example.com"]
     rows = [(START + timedelta(seconds=i), "a", n, i) for i, n in enumerate(names)]
-    # Much later traffic moves the watermark past the timeout of session 2.
-    rows += [(START + timedelta(seconds=2000 + i), "b", "9-0-5-AAAA.exfill.local", 10 + i) for i in range(2)]
-    stream, _ = stored(spark, tmp_path, "q", rows, "ts timestamp, src_ip string, qname string, seq long", files=4)
-    got = {(r.session_id, r.complete): r for r in run_to_table(stream_reassemble(stream)).collect()}
-    assert bytes(got[("1", True)].payload) == b"hello" and got[("1", True)].encoding == "base64url"
-    assert (got[("2", False)].received, got[("2", False)].total) == (1, 3)
-    assert ("9", False) not in got and ("2", True) not in got
+    # Session 3 goes on for longer than a session may, with chunks in time; later chunks are another, partial transfer.
+    rows += [(START + timedelta(seconds=20 * i), "b", f"3-{i}-20-AAAA.exfill.local", 10 + i) for i in range(20)]
+    # Much later traffic moves the watermark past the timeouts.
+    rows += [(START + timedelta(seconds=2000 + i), "b", "9-0-5-AAAA.exfill.local", 50 + i) for i in range(2)]
+    stream, _ = stored(spark, tmp_path, "q", rows, QUERIES, files=4)
+    sent = run_to_table(stream_reassemble(stream)).collect()
+    whole = [r for r in sent if r.complete]
+    assert [(r.session_id, r.transfer, bytes(r.payload), r.encoding) for r in whole] == [("1", 0, b"hello", "base64url")]
+    partial = {(r.session_id, r.transfer, r.received, r.total, r.arrivals, r.missing) for r in sent if not r.complete}
+    assert partial == {("2", 0, 1, 3, 1, 2), ("3", 0, 16, 20, 16, 4), ("3", 1, 4, 20, 4, 16)}
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_micro_batches_do_not_matter(spark, tmp_path, files):
+    """Transfers of different lengths under one id, resends and rows out of order within the watermark's delay."""
+    use_disk_state(spark)
+    rng = random.Random(3)
+    named = []
+    for session in range(4):
+        for total in (2, 3, 1):
+            named += [f"{session}-{i}-{total}-{rng.choice('ABCD')}.leak.local" for i in range(total)]
+        named += [named[-1]] * 3 + [f"{session}-0-1-Z.leak.local"]
+    rows = [(START + timedelta(seconds=i), "a", n, i) for i, n in enumerate(named)]
+    want = plain_transfers([("a", n) for n in named])
+    assert len(want) == 16
+    shuffled = [row for at in range(0, len(rows), 6) for row in rng.sample(rows[at:at + 6], len(rows[at:at + 6]))]
+    shuffled.append((START + timedelta(days=9), "heartbeat", "0-0-0-x.leak.local", 0))
+    stream, _ = stored(spark, tmp_path, "q", shuffled, QUERIES, files)
+    sent = run_to_table(stream_reassemble(stream, chunk_timeout=None, session_timeout=None)).where("complete")
+    assert sorted((r.src_ip, r.session_id, r.transfer, r.received) for r in sent.collect()) == [(a, s, n, len(t)) for a, s, n, t in want]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_session_state_follows_the_rule(seed):
+    rng = random.Random(seed)
+    totals = rng.choice([[1], [2], [1, 2], [2, 3, 4]])
+    rows = []
+    for _ in range(80):
+        total = rng.choice(totals)
+        rows += [(rng.randrange(total + (rng.random() < 0.02)), total, rng.choice("AB"))] * rng.choice([1, 1, 3])
+    state, about, chunks, out = Session(("a", "1"), None, {}, (1 << 60,) * 3, 8), None, {}, []
+    for us, row in enumerate(rows):
+        # The state is put down and taken up again between arrivals.
+        state = Session(("a", "1"), about, chunks, (1 << 60,) * 3, 8)
+        state.arrive(us, *row)
+        about, chunks = state.about(0), state.chunks
+        out += state.rows
+    want = plain_transfers([("a", f"1-{i}-{n}-{c}.leak.local") for i, n, c in rows])
+    assert [(*r[:3], r[-1]) for r in out] == want
 
 
 def test_closed_conversations_equal_the_batch(spark, tmp_path):
