@@ -182,7 +182,8 @@ def _judged(batches: Batches, width: int, percent: int) -> Batches:
 
 def _compared(members: DataFrame, texts: DataFrame, function, schema: str) -> DataFrame:
     """Hand groups of members (key, node, leads) with their texts (node, text) to a function, group by group."""
-    held = members.join(texts, "node").select("key", "node", "leads", "text")
+    # Stored, so that Spark knows their size before it decides whether to move the texts.
+    held = stored(members).join(texts, "node").select("key", "node", "leads", "text")
     return map_rows(held.repartition("key").sortWithinPartitions("key"), function, schema)
 
 
@@ -195,11 +196,12 @@ def _large_groups(groups: DataFrame, cells: DataFrame, texts: DataFrame, width:
 
     groups: (node, size, root) of large groups; cells: (cell, node) of bands that hold several nodes.
     """
+    groups = stored(groups)
     placed = stored(cells.join(groups, "node").select("cell", "node", "size", "root"))
     by_cell = placed.groupBy("root", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
     leaders = by_cell.groupBy("root").agg(F.max_by("node", F.struct("n", -F.col("cell"))).alias("leader"))
     sizes = groups.groupBy("root").agg(_tiles(F.count(F.lit(1)), F.sum("size")).alias("slices"))
-    about = leaders.join(sizes, "root")
+    about = stored(leaders.join(sizes, "root"))
     followers = groups.join(about, "root").where("node <> leader").select(
         "root", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), "node", F.lit(False).alias("leads")
     )
@@ -254,36 +256,37 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             cells = pa.array(list(band_names(signatures(sets)).view(np.int64)), pa.list_(pa.int64()))
             digests = np.array([[np.bitwise_xor.reduce(mixed(s)), np.add.reduce(s * s, dtype=np.uint64)] for s in sets], dtype=np.uint64)
             digests = digests.reshape(-1, 2).view(np.int64)
-            sizes = pa.array([len(s) for s in sets], pa.int64())
+            counts, sizes = (pa.array([len(x) for x in xs], pa.int64()) for xs in (sets, [t or "" for t in texts]))
             yield pa.record_batch(
-                [batch["doc_id"], sizes, pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), cells, batch["text"]],
-                ["doc_id", "n_shingles", "d1", "d2", "cells", "text"],
+                [batch["doc_id"], counts, pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), sizes, cells, batch["text"]],
+                ["doc_id", "n_shingles", "d1", "d2", "size", "cells", "text"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, cells array<bigint>, text string"
+    schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, size bigint, cells array<bigint>, text string"
     # Rows are numbered once and stored with their texts, so that one row of each node can be found again.
     marked = stored(map_rows(rows, run, schema).withColumn("row", F.monotonically_increasing_id()))
     same = ["n_shingles", "d1", "d2"]
     nodes = stored(marked.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min("doc_id").alias("first")))
-    one = marked.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    cells = stored(one.select(F.col("row").alias("node"), F.length("text").alias("size"), F.explode("cells").alias("cell")))
+    one = marked.select(F.col("row").alias("node"), "cells").join(nodes.select("node"), "node", "left_semi")
+    cells = stored(one.select("node", F.explode("cells").alias("cell")))
     met = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1").select("cell", "low"))
-    shared = stored(cells.join(met, "cell").select("cell", "low", "node", "size"))
+    shared = stored(cells.join(met, "cell").select("cell", "low", "node"))
     reached = components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    groups = shared.select("node", "size").distinct().join(reached, "node")
-    totals = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
-    large = (F.col("n") > TILE_ROWS) | (F.col("chars") > TILE_CHARS)
-    groups = stored(groups.join(totals.select("root", large.alias("large")), "root"))
-
-    texts = marked.select(F.col("row").alias("node"), "text")
-    members = groups.where("not large").select(F.col("root").alias("key"), "node", F.lit(False).alias("leads"))
+    # The texts of all nodes that met another are fetched once.
+    found = marked.select(F.col("row").alias("node"), "size", "text").join(stored(reached), "node")
+    texts = stored(found)
+    totals = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    large = stored(totals.where((F.col("n") > TILE_ROWS) | (F.col("chars") > TILE_CHARS)).select("root"))
+    big = texts.select("node", "size", "root").join(large, "root", "left_semi")
+    small = texts.select("node", "root").join(large, "root", "left_anti")
+    members = small.select(F.col("root").alias("key"), "node", F.lit(False).alias("leads"))
+    texts = texts.select("node", "text")
     links = None
-    big = groups.where("large").select("node", "size", "root")
-    if not big.isEmpty():
+    if not large.isEmpty():
         links, more = _large_groups(big, shared.select("cell", "node"), texts, width, percent)
         members = members.unionByName(more)
-    compared = _compared(stored(members), texts, lambda b: _links(b, width, percent), "a bigint, b bigint")
+    compared = _compared(members, texts, lambda b: _links(b, width, percent), "a bigint, b bigint")
     linked = components(compared if links is None else stored(compared).unionByName(links))
 
     roots = nodes.join(linked, "node", "left").select(*same, "first", F.coalesce("root", "node").alias("root"))
