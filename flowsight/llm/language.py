@@ -2,8 +2,12 @@
 
 A suffix automaton of the labelled sample of each language knows every substring of it. A text is parsed from left
 to right into the longest phrases that occur in the sample; a text in the sample's language needs few, long phrases.
-The number of phrases times the logarithm of the sample's length, per character, estimates the cross entropy,
-and the language with the least estimate wins.
+The number of phrases times their price, per character, estimates the cross entropy, and the language with the least
+estimate wins. The price is one for all languages, the logarithm of the longest sample's length, so that a short sample
+is no cheaper than a long one.
+
+Every letter of every script counts: the most frequent letters of the samples are symbols of their own, any other is
+written as a lead symbol and the digits of its code point, so the table stays narrow and no letters are merged.
 """
 
 from __future__ import annotations
@@ -14,11 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsight.llm.common import Batches, map_rows
+from flowsight.llm.common import Batches, map_rows, stored
 
-#: Characters known by name, most frequent first; one more symbol stands for blanks and marks, one for other letters.
-LETTERS = 62
-BLANK, OTHER = 0, 1
+#: Letters with a symbol of their own; symbol 0 stands for blanks and marks, and digits of base DIGITS write other letters.
+LETTERS, DIGITS = 28, 32
+BLANK = 0
+#: Leads of letters with two, three and four digits come after the digits.
+_FIRST_DIGIT = LETTERS + 1
+_FIRST_LEAD = _FIRST_DIGIT + DIGITS
+WIDTH = _FIRST_LEAD + 3
 #: A phrase never crosses a border between blocks of so many characters, so that blocks are parsed side by side.
 BLOCK = 512
 
@@ -81,24 +89,39 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     return table
 
 
+def encode(letters: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Symbols of folded letters; own holds the symbol of letters that have one, 0 for others."""
+    single = own[letters]
+    sizes = np.where((letters == 0) | (single > 0), 1, 3 + (letters >= DIGITS**2) + (letters >= DIGITS**3))
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+    out[ends - sizes] = np.where(sizes == 1, single, _FIRST_LEAD + sizes - 3)
+    for place in range(4):
+        at = np.flatnonzero(sizes >= max(3, place + 2))
+        out[ends[at] - 1 - place] = _FIRST_DIGIT + letters[at] // DIGITS**place % DIGITS
+    return out
+
+
 class Model:
-    """Automata of all languages in one table, ready to parse many blocks at once."""
+    """Automata of all languages in one table, ready to parse many blocks at once.
+
+    Samples without a letter teach nothing and are left out.
+    """
 
     def __init__(self, samples: dict[str, str]):
-        if not samples:
+        texts = {name: _folded(samples[name]) for name in sorted(samples)}
+        texts = {name: text for name, text in texts.items() if text.any()}
+        if not texts:
             raise ValueError("no labelled text")
-        self.languages = sorted(samples)
-        texts = {name: _folded(samples[name]) for name in self.languages}
+        self.languages, self.width = list(texts), WIDTH
         points, counts = np.unique(np.concatenate(list(texts.values())), return_counts=True)
         known = [p for p in points[np.argsort(-counts, kind="stable")].tolist() if p][:LETTERS]
-        self.width = len(known) + 2
-        self.symbol_of = np.full(0x110000, OTHER, dtype=np.int32)
-        self.symbol_of[0] = BLANK
-        self.symbol_of[known] = np.arange(2, self.width)
-        tables, self.roots, self.bits = [], [], []
+        self.own = np.zeros(0x110000, dtype=np.int32)
+        self.own[known] = np.arange(1, len(known) + 1)
+        tables, self.roots, longest = [], [], 2
         at = 0
         for name in self.languages:
-            symbols = self.symbol_of[texts[name]].tolist()
+            symbols = encode(texts[name], self.own).tolist()
             table = suffix_automaton(symbols, self.width)
             # Where a phrase ends, the next one starts with the same character: its state, or the root if the sample lacks it.
             start = np.where(table[0] >= 0, table[0], 0)
@@ -107,8 +130,9 @@ class Model:
             # A cell holds the next row's offset, doubled, plus one if a phrase ends.
             tables.append((moves * self.width * 2 + ends).ravel())
             self.roots.append(at * self.width)
-            self.bits.append(np.log2(max(2, len(symbols))))
+            longest = max(longest, len(symbols))
             at += len(table)
+        self.price = np.log2(longest)
         self.table = np.concatenate(tables)
         if len(self.table) * 2 < 1 << 31:
             self.table = self.table.astype(np.int32)
@@ -142,8 +166,8 @@ class Model:
             folded = _folded(text or "")
             if not folded.any():
                 continue
-            symbols = self.symbol_of[folded]
-            sizes[i] = len(symbols)
+            symbols = encode(folded, self.own)
+            sizes[i] = len(folded)
             for start in range(0, len(symbols), BLOCK):
                 blocks.append(symbols[start : start + BLOCK])
                 owner.append(i)
@@ -151,7 +175,7 @@ class Model:
             return out
         total = np.zeros((len(self.languages), len(texts)))
         np.add.at(total, (slice(None), np.array(owner)), self.phrases(blocks))
-        bits = total * np.array(self.bits)[:, None] / np.maximum(sizes, 1)
+        bits = total * self.price / np.maximum(sizes, 1)
         for i in np.flatnonzero(sizes).tolist():
             ranked = np.argsort(bits[:, i], kind="stable")
             best = ranked[0]
@@ -165,27 +189,38 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def labelled_samples(docs: DataFrame, total_chars: int = 80_000, most_chars: int = 2_000) -> dict[str, str]:
-    """Sample text per language: at most total_chars in all, at most most_chars of a document.
+def labelled_samples(
+    docs: DataFrame, total_chars: int = 80_000, most_chars: int = 2_000, least_chars: int = 500, first_rows: int = 80,
+) -> dict[str, str]:
+    """Sample text per language: an equal share of total_chars (least_chars at least), at most most_chars of a text.
 
-    Documents are taken in the order of a digest of their text, so the sample is spread over the table and the same on
-    every run. Rows that are held out or have no language or text are not used; with no other rows there is no sample. The
-    sample is the only thing that is bounded; it fits the model, which then reads every text whole.
+    Distinct texts with a letter are taken in the order of a digest until their characters fill the share, so copies of a text
+    count once, and the sample is spread over the table and the same on every run. first_rows texts per language are looked at
+    first, eight times as many in each further round in which a language is not full yet. Rows that are held out or have no
+    language, text or letter are not used; with no other rows there is no sample. Repeated rows change nothing; other
+    columns are not read. The sample is the only thing that is bounded; it fits the model, which then reads every text whole.
     """
-    usable = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    languages = usable.select("lang").distinct().count()
+    learned = ~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").cast("string").rlike("\\p{L}")
+    usable = docs.where(learned).select(F.col("lang").alias("_lang"), F.xxhash64("text").alias("_digest"), F.col("text").alias("_text"))
+    distinct = stored(usable.select("_lang", "_digest").distinct())
+    languages = {r["_lang"]: r["count"] for r in distinct.groupBy("_lang").count().collect()}
     if not languages:
         return {}
-    chars = max(1, total_chars // languages)
-    # Texts of at least most_chars characters fill the sample after this many rows, shorter ones later.
-    rows = max(8, 8 * chars // most_chars)
-    order = Window.partitionBy("lang").orderBy("digest", "start")
-    start = usable.select("lang", F.xxhash64("text").alias("digest"), F.substring("text", 1, most_chars).alias("start"))
-    chosen = start.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
-    samples: dict[str, list[str]] = {}
-    for row in chosen.orderBy("lang", "place").collect():
-        samples.setdefault(row["lang"], []).append(row["start"])
-    return {name: "\n".join(dict.fromkeys(parts))[:chars] for name, parts in samples.items()}
+    chars = max(total_chars // len(languages), least_chars)
+    rows, order = first_rows, Window.partitionBy("_lang").orderBy("_digest")
+    while True:
+        # A few digests per language, so Spark hands them to every task.
+        chosen = stored(distinct.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= rows))
+        found = usable.join(chosen, ["_lang", "_digest"]).groupBy("_lang", "_place").agg(F.min(F.substring("_text", 1, most_chars)).alias("_start"))
+        before = Window.partitionBy("_lang").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        needed = found.withColumn("_before", F.coalesce(F.sum(F.length("_start")).over(before), F.lit(0))).where(F.col("_before") < chars)
+        samples: dict[str, list[str]] = {}
+        for row in needed.select("_lang", "_place", "_start").orderBy("_lang", "_place").collect():
+            samples.setdefault(row["_lang"], []).append(row["_start"])
+        short = [name for name, n in languages.items() if n > rows and sum(map(len, samples.get(name, []))) < chars]
+        if not short:
+            return {name: "\n".join(parts)[:chars] for name, parts in samples.items()}
+        rows *= 8
 
 
 def identify(docs: DataFrame, samples: dict[str, str], keep: list[str] | None = None) -> DataFrame:

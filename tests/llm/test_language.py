@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsight.llm.language import BLOCK, Model, _folded, identify, is_held_out, labelled_samples, suffix_automaton
+from flowsight.llm.language import BLOCK, WIDTH, Model, _folded, encode, identify, is_held_out, labelled_samples, suffix_automaton
 
 SAMPLES = {"aa": "banana bandana cabana ananas " * 8, "bb": "quick brown foxes jump over lazy dogs " * 8}
 
@@ -29,9 +29,9 @@ def as_text(symbols):
 def test_phrases_equal_plain_search():
     rng = random.Random(1)
     model = Model(SAMPLES)
-    samples = [as_text(model.symbol_of[_folded(SAMPLES[n])]) for n in model.languages]
+    samples = [as_text(encode(_folded(SAMPLES[n]), model.own)) for n in model.languages]
     blocks = [np.array([rng.randrange(model.width) for _ in range(rng.randint(1, 40))]) for _ in range(30)]
-    blocks += [model.symbol_of[_folded(t)] for t in ("bandana", "lazy fox", "zzz")]
+    blocks += [encode(_folded(t), model.own) for t in ("bandana", "lazy fox", "zzz", "\u0436\u6f22")]
     found = model.phrases(blocks)
     for i, block in enumerate(blocks):
         assert found[:, i].tolist() == [plain_phrases(as_text(block), s) for s in samples]
@@ -82,6 +82,47 @@ def test_held_out_rows_teach_nothing(spark, docs_of):
     assert {(r.lang_pred, r.score) for r in identify(docs_of(rows), {}).collect()} == {("und", 0.0)}
 
 
+#: A few plain sentences per language, in scripts that share no letters or nearly all of them.
+SCRIPTS = {
+    "ru": "\u0432 \u043d\u0430\u0447\u0430\u043b\u0435 \u0431\u044b\u043b\u043e \u0441\u043b\u043e\u0432\u043e \u0438 \u0441\u043b\u043e\u0432\u043e \u0431\u044b\u043b\u043e \u0443 \u0431\u043e\u0433\u0430 \u043e\u043d\u043e \u0431\u044b\u043b\u043e \u0432 \u043d\u0430\u0447\u0430\u043b\u0435",
+    "uk": "\u043d\u0430 \u043f\u043e\u0447\u0430\u0442\u043a\u0443 \u0431\u0443\u043b\u043e \u0441\u043b\u043e\u0432\u043e \u0456 \u0441\u043b\u043e\u0432\u043e \u0431\u0443\u043b\u043e \u0432 \u0431\u043e\u0433\u0430 \u0432\u043e\u043d\u043e \u0431\u0443\u043b\u043e \u0441\u043f\u043e\u043a\u043e\u043d\u0432\u0456\u043a\u0443",
+    "el": "\u03b5\u03bd \u03b1\u03c1\u03c7\u03b7 \u03b7\u03bd \u03bf \u03bb\u03bf\u03b3\u03bf\u03c2 \u03ba\u03b1\u03b9 \u03bf \u03bb\u03bf\u03b3\u03bf\u03c2 \u03b7\u03bd \u03c0\u03c1\u03bf\u03c2 \u03c4\u03bf\u03bd \u03b8\u03b5\u03bf\u03bd",
+    "ar": "\u0641\u064a \u0627\u0644\u0628\u062f\u0621 \u0643\u0627\u0646 \u0627\u0644\u0643\u0644\u0645\u0629 \u0648\u0627\u0644\u0643\u0644\u0645\u0629 \u0643\u0627\u0646 \u0639\u0646\u062f \u0627\u0644\u0644\u0647",
+    "zh": "\u592a\u521d\u6709\u9053\u9053\u4e0e\u795e\u540c\u5728\u9053\u5c31\u662f\u795e\u8fd9\u9053\u592a\u521d\u4e0e\u795e\u540c\u5728",
+    "ja": "\u521d\u3081\u306b\u8a00\u304c\u3042\u3063\u305f\u8a00\u306f\u795e\u3068\u5171\u306b\u3042\u3063\u305f\u8a00\u306f\u795e\u3067\u3042\u3063\u305f",
+    "en": "in the beginning was the word and the word was with god and the word was god",
+}
+
+
+def test_scripts_are_told_apart():
+    model = Model({**{name: text * 3 for name, text in SCRIPTS.items()}, "zz": "ok", "qq": "123", "yy": "a"})
+    assert "qq" not in model.languages
+    for name, text in SCRIPTS.items():
+        half = text[: len(text) // 2]
+        assert model.predict([half, text[5:]])[0][0] == name and model.predict([text[5:]])[0][0] == name
+    # Letters that no sample holds keep their identity, and short samples win nothing.
+    assert model.predict(["the word was in the beginning with whom"])[0][0] == "en"
+    assert model.predict(["something else entirely, quickly jumping over lazy dogs"])[0][0] == "en"
+
+
+def test_symbols_of_letters_differ():
+    model = Model({"en": SCRIPTS["en"]})
+    letters = np.array([0, ord("a"), ord("q"), 0x3B1, 0x431, 0x6F22, 0x20000], dtype=np.uint32)
+    codes = [tuple(encode(letters[i : i + 1], model.own)) for i in range(len(letters))]
+    assert len(set(codes)) == len(codes) and [len(c) for c in codes] == [1, 1, 3, 3, 4, 4, 5]
+    assert max(max(c) for c in codes) < WIDTH
+    assert encode(letters, model.own).tolist() == [s for c in codes for s in c]
+
+
+def test_copies_do_not_fill_a_sample(docs_of):
+    rows = [(d, "the same old text again", "en") for d in range(1000)]
+    rows += [(d, f"another text number {'abcdefghij'[d % 10] * (d % 7 + 1)}", "en") for d in range(1000, 1200)]
+    rows += [(d, "1234 5678", "de") for d in range(1200, 1240)] + [(d, f"ein text {'xyz'[d % 3]}", "de") for d in range(1240, 1260)]
+    sample = labelled_samples(docs_of(rows), total_chars=4000, first_rows=2)
+    parts = sample["en"].split("\n")
+    assert len(parts) == len(set(parts)) > 30 and "1234" not in sample["de"] and sample["de"].count("ein text") == 3
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = identify(docs, labelled_samples(docs)).where(is_held_out(F.col("doc_id"))).select("lang", "lang_pred").collect()
