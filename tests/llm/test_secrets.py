@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
+
 from flowsight.llm.secrets import base_spans, literal_score, literal_spans, name_score, redact, scan
 
 
@@ -45,6 +47,49 @@ def test_constants_reach_sensitive_names():
     assert literal_spans(doubling) == []
 
 
+SECRET = "hT7f-92kQz"
+
+
+@pytest.mark.parametrize("text", [
+    'password = """hT7f-92kQz"""', "password = \'\'\'\nhT7f-92kQz\'\'\'", '"password":\n    "hT7f-92kQz"', "auth_key: |\n  hT7f-92kQz\nnext: 1",
+    'let auth_key: &str = "hT7f-92kQz";', 'var auth_key string = "hT7f-92kQz"', 'final String password = "hT7f-92kQz";',
+    'credential = (\n    "hT7f-92kQz"\n)', 'credential, b = "hT7f-92kQz", 1', 'b, credential = 1, "hT7f-92kQz"', 'credential = x or "hT7f-92kQz"',
+    'credential = x ?? "hT7f-92kQz"', 'os.getenv("API_KEY", "hT7f-92kQz")', 'v = os.environ.get("API_KEY", "hT7f-92kQz")',
+    'credential = \\\n  "hT7f-92kQz"', 'credential = r"hT7f-92kQz"', 'def f(x, password="hT7f-92kQz"):', 'passphrase = `hT7f-92kQz`',
+    'client_secret: Optional[str] = "hT7f-92kQz"', 'secret = decode("hT7f-92kQz")', "secret:\n  - x\nauth_token: >-\n    hT7f-92kQz\n",
+])
+def test_forms_of_assignments(text):
+    assert [v.strip() for v in values(text)] == [SECRET]
+
+
+def test_parts_blanks_and_keys():
+    assert values('credential = (\n  "hT7f"\n  "-92kQz8"\n)') == ["hT7f", "-92kQz8"]
+    assert values('credential = "my horse jumps high pass"') == ["my horse jumps high pass"]
+    body = "MIIEpAIBAAKCAQEA" * 8
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert values(f"key material:\n{key}\nend") == [key]
+    assert values("-----BEGIN PRIVATE KEY-----\nnever ends") == [] == values("-----BEGIN CERTIFICATE-----\nx\n-----END CERTIFICATE-----")
+
+
+def test_clean_texts_stay():
+    for text in (
+        "Note: the token is described below.\nIt has two parts.", "password:\nuser: name1234\n", 'title = "hT7f-92kQz"\nsecret = ""',
+        "time 12:30 and a = b\n", 'label = "enter your password:"', 'password = "Please enter the password again."', "secret: |\nnot indented 123456789",
+        '{"password": {"min": 8, "type": "string12345"}}', "tokens: 1234\n", "key:\n",
+    ):
+        assert values(text) == [], text
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    texts = ["a = 'x" * 40_000, "password = (" * 20_000, 'secret: """' * 20_000, "key = [\n" * 20_000, "-----BEGIN A PRIVATE KEY-----\n" * 5_000, "auth: |\n  x\n" * 20_000]
+    start = time.process_time()
+    for text in texts:
+        literal_spans(text)
+    assert time.process_time() - start < 20
+
+
 def plain_base(text):
     spans = []
     for order, (kind, pattern, group, least) in enumerate((
