@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowsight.sources.numbered import numbered_records
+
 # Fixed value: where a log lies, .../<run>/<scenario>/logs/<file>.
 PATH_PATTERN = "([^/]+)/([^/]+)/logs/[^/]+$"
 
 
-def number_lines(files: DataFrame) -> DataFrame:
-    """(path, value[, modified]) to (path, run, scenario, line_no, line)."""
-    place = lambda group: F.regexp_extract("path", PATH_PATTERN, group)
-    return files.select(
-        "path", place(1).alias("run"), place(2).alias("scenario"),
-        F.posexplode(F.split("value", "\n")).alias("line_no", "line"),
-    )
-
-
 def log_files(spark: SparkSession, path: str, pattern: str = "predictor_*.log") -> DataFrame:
     """(path, modified, run, scenario) of the log files under a folder."""
     place = lambda group: F.regexp_extract("path", PATH_PATTERN, group)
@@ -28,9 +21,12 @@ def log_files(spark: SparkSession, path: str, pattern: str = "predictor_*.log")
     )
 
 
-def read_run_logs(spark: SparkSession, path: str, pattern: str = "predictor_*.log") -> DataFrame:
-    """Log lines; a log is a short report and is read as one text to number its lines."""
-    files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+def read_run_logs(spark: SparkSession, path: str, pattern: str = "predictor_*.log", place: str = PATH_PATTERN) -> DataFrame:
+    """(path, run, scenario, line_no, line) of the logs under a folder; place finds run and scenario in a path.
+
+    A long log is read in splits by several tasks; lines end at line feeds alone.
+    """
+    part = lambda group: F.regexp_extract("path", place, group)
+    return numbered_records(spark, path, pattern=pattern).select(
+        "path", part(1).alias("run"), part(2).alias("scenario"), F.col("no").alias("line_no"), F.col("value").alias("line")
     )
-    return number_lines(files.select(F.col("_metadata.file_path").alias("path"), "value"))

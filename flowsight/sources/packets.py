@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsight.functions.numeric import to_number
+from flowsight.runtime import cut_lineage
+from flowsight.sources.numbered import numbered_records
 
 _SESSIONS = "array<struct<features:array<array<string>>,meta:struct<src_ip:string,dst_ip:string>>>"
 _LISTS = "array<array<array<string>>>"
@@ -41,9 +43,57 @@ def parse_packet_sequences(files: DataFrame) -> DataFrame:
     )
 
 
+# What stands before the first packet in the two shapes, and settings in the first record and after the last packet. A record
+# is what stands before a closing bracket; the first object of a file ends with the first brace that closes it.
+_OBJECT = r"(?s)^\s*\[\s*\{(?:[^{}]|\{[^{}]*\})*?\"features\"\s*:\s*\["
+_LIST = r"(?s)^\s*\[\s*\[\s*\["
+_META_FIRST = r"(?s)^\s*\[\s*\{[^{}]*\"meta\"\s*:\s*(\{[^{}]*\})"
+_META_AFTER = r"(?s)^[^{}]*\"meta\"\s*:\s*(\{[^{}]*\})"
+#: A text that holds nothing, in at most two records.
+_NOTHING = r"^\s*(\[\s*\]|\[|\{\s*\}|null)?\s*$"
+
+
 def read_packet_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """Every .json file of a folder; a file is one session and is parsed as one text."""
-    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    return parse_packet_sequences(
-        files.select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), "value")
+    """Every .json file of a folder as parse_packet_sequences does, but as a stream of records, one to each closing bracket.
+
+    A packet is a flat list, so a record holds one packet, and a file of any length is read in splits by several tasks; no
+    task holds a file. Settings of a session are looked for before its first packet and right after its last one. A
+    file that breaks off gives the packets before the break. Column path tells files of one name apart.
+    """
+    # A listing and a reader write local paths with different numbers of slashes.
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    records = numbered_records(spark, path, "]", "*.json").withColumn("path", plain)
+    heads = records.where("no = 0").select("path", F.col("value").alias("head"))
+    starts = heads.select("path", "head", F.col("head").rlike(_OBJECT).alias("as_object"), F.col("head").rlike(_LIST).alias("as_list"))
+    # The list of packets ends with a record that is blank: two closing brackets in a row. Without a bracket of its own after
+    # the list's, the first record holds no packet, and the list ends with it.
+    begin = F.when(F.col("as_object"), F.regexp_replace("head", _OBJECT, "")).otherwise(F.regexp_replace("head", r"(?s)^\s*\[\s*\[", ""))
+    has_packet = begin.contains("[")
+    stops = records.where("no > 0").where(F.trim("value") == "").groupBy("path").agg(F.min("no").alias("stop"))
+    known = cut_lineage(starts.join(stops, "path", "left").select(
+        "path", "head", "as_object", "as_list", F.when(has_packet, F.coalesce("stop", F.lit((1 << 62)))).otherwise(F.lit(0)).alias("stop")
+    ))
+    session = records.join(known, "path").where((F.col("as_object") | F.col("as_list")) & (F.col("no") <= F.col("stop") + 1))
+    found = F.when(F.col("no") == 0, F.regexp_extract("value", _META_FIRST, 1)).when(
+        F.col("no") == F.col("stop") + 1, F.regexp_extract("value", _META_AFTER, 1)
+    )
+    meta = session.select("path", "no", F.nullif(found, F.lit("")).alias("meta")).where("meta is not null")
+    meta = meta.groupBy("path").agg(F.min_by("meta", "no").alias("meta"))
+    fields = F.split(F.regexp_replace(F.substring_index("value", "[", -1), r'[\s"]', ""), ",")
+    field = lambda i: to_number(F.get(fields, F.lit(i)))
+    packets = session.where((F.col("no") < F.col("stop")) & F.col("value").contains("[")).select(
+        "path", F.col("no").cast("int").alias("pos"), field(0).alias("ts"), field(2).alias("size")
+    )
+    side = lambda name: F.coalesce(F.get_json_object("meta", f"$.{name}"), F.lit("unknown")).alias(name)
+    # Files without a packet still have a row, and so have empty files, which only a listing knows.
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    every = spark.createDataFrame([(file,) for file in reader.text(path).inputFiles()], "path string").withColumn("path", plain)
+    counted = records.groupBy("path").agg(F.count(F.lit(1)).alias("records"))
+    about = every.join(known, "path", "left").join(meta, "path", "left").join(counted, "path", "left")
+    shaped = F.coalesce(F.col("as_object") | F.col("as_list"), F.lit(False))
+    empty = F.coalesce(F.col("head").rlike(_NOTHING) & (F.col("records") <= 2), F.lit(True))
+    error = F.when(~shaped, F.when(empty, EMPTY_FILE).otherwise(UNSUPPORTED))
+    sessions = about.select("path", side("src_ip"), side("dst_ip"), error.alias("error"))
+    return sessions.join(packets, "path", "left").select(
+        F.substring_index("path", "/", -1).alias("file"), "src_ip", "dst_ip", "pos", "ts", "size", "error", "path"
     )

@@ -49,7 +49,7 @@ def test_packet_sequences(spark, tmp_path):
             "two.json": "[[[1, 0, 10], [2, 0, 20]]]", "empty.json": "[]", "odd.json": '[{"other": 1}]', "skip.txt": "[]",
         }
     )
-    rows = packets.read_packet_sequences(spark, str(tmp_path)).collect()
+    rows = packets.read_packet_sequences(spark, str(tmp_path)).orderBy("file", "pos").collect()
     one = [(r.pos, r.ts, r.size, r.src_ip, r.dst_ip) for r in rows if r.file == "one.json"]
     assert one == [(0, 1.0, 100.0, "1.1.1.1", "unknown"), (1, 3.5, 50.0, "1.1.1.1", "unknown")]
     assert [(r.ts, r.size) for r in rows if r.file == "two.json"] == [(1.0, 10.0), (2.0, 20.0)]
@@ -57,6 +57,45 @@ def test_packet_sequences(spark, tmp_path):
     assert errors == {"empty.json": packets.EMPTY_FILE, "odd.json": packets.UNSUPPORTED}
 
 
+SEQUENCES = {
+    "a.json": '[{"meta": {"src_ip": "2.2.2.2", "dst_ip": "3.3.3.3"}, "features": [[1, 0, 10], ["2.5", 0, "x"]]}, {"features": [[9, 9, 9]]}]',
+    "b.json": '[{"features": [[1,0,10]]}, {"meta": {"src_ip": "9.9.9.9"}, "features": [[7,7,7]]}]', "c.json": '[{"features": [], "meta": {"dst_ip": "4.4.4.4"}}]',
+    "d.json": "[[[]]]", "e.json": "", "f.json": "null", "g.json": " [ ] ", "h.json": "{}", "i.json": '{"features": [[1, 2, 3]]}', "j.json": "[[1, 2, 3]]",
+    "k.json": '[{"x": {"y": 1}, "features" : [ [1, 2, 3], [4, 5] ], "meta": {}}]', "l.json": '[{"x": 1}, {"features": [[1, 2, 3]]}]', "m.json": "[[[1,2,3]],[[4,5,6]]]",
+    "n.json": "[[[1.5, null, 1e3]\n,\n[2,0,-4]]]\n", "o.json": "[1, 2]",
+}
+
+
+def test_packets_record_by_record_equal_whole_texts(spark, tmp_path):
+    long = [[i / 7, i % 2, i % 1400] for i in range(20_000)]
+    files = {**SEQUENCES, "long.json": json.dumps([{"features": long, "meta": {"src_ip": "5.5.5.5"}}])}
+    write(tmp_path, **files)
+    texts = spark.createDataFrame(list(files.items()), "file string, value string")
+    want = sorted(map(repr, packets.parse_packet_sequences(texts).select("file", "src_ip", "dst_ip", "pos", "ts", "size", "error").collect()))
+    # The long file is over a hundred times what a task may read of it.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        read = packets.read_packet_sequences(spark, str(tmp_path))
+        got = sorted(map(repr, read.select("file", "src_ip", "dst_ip", "pos", "ts", "size", "error").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want and len(got) > 20_000
+
+
+def test_lines_of_a_split_file(spark, tmp_path):
+    lines = [f"line {i} {'x' * (i % 50)}\r" for i in range(3000)]
+    write(tmp_path, **{"run__s__logs__predictor_1.log": "\n".join(lines), "run__s__logs__predictor_2.log": "a\n\nb\n", "run__s__logs__predictor_3.log": ""})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    try:
+        got = logs.read_run_logs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r.path[-5], []).append((r.line_no, r.line))
+    assert sorted(by_file["1"]) == list(enumerate(lines)) and sorted(by_file["2"]) == [(0, "a"), (1, ""), (2, "b")] and "3" not in by_file
+
+
 def test_dns_and_http(spark):
     df = spark.createDataFrame([(None, "a.b..",), ("1.1.1.1", "c.d")], "src_ip string, qname string").withColumn("ts", F.lit("2025-01-01").cast("timestamp"))
     assert {(r.src_ip, r.qname) for r in dns.dns_events(df).collect()} == {("unknown", "a.b"), ("1.1.1.1", "c.d")}
