@@ -45,9 +45,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = numbered(docs)
     found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), most=4, width=4)
     groups = rows.select(ROW, "doc_id").join(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group")), ROW)
+    groups = stored(groups)
     first = F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
-    kept = stored(groups.groupBy("_group").agg(first.alias(ROW)).select(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    kept = groups.groupBy("_group").agg(first.alias("_kept"))
+    # Those that go are fewer than those that stay. They are dealt out by hash at every size, so the texts are moved once.
+    gone = groups.join(kept, "_group").where(F.col(ROW) != F.col("_kept")).select(ROW)
+    return rows.join(gone.hint("shuffle_hash"), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
