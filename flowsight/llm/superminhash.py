@@ -182,8 +182,7 @@ def _judged(batches: Batches, width: int, percent: int) -> Batches:
 
 def _compared(members: DataFrame, texts: DataFrame, function, schema: str) -> DataFrame:
     """Hand groups of members (key, node, leads) with their texts (node, text) to a function, group by group."""
-    # Stored, so that Spark knows their size before it decides whether to move the texts.
-    held = stored(members).join(texts, "node").select("key", "node", "leads", "text")
+    held = members.hint("shuffle_hash").join(texts, "node").select("key", "node", "leads", "text")
     return map_rows(held.repartition("key").sortWithinPartitions("key"), function, schema)
 
 
@@ -273,9 +272,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     met = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1").select("cell", "low"))
     shared = stored(cells.join(met, "cell").select("cell", "low", "node"))
     reached = components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    # The texts of all nodes that met another are fetched once.
-    found = marked.select(F.col("row").alias("node"), "size", "text").join(stored(reached), "node")
-    texts = stored(found)
+    # The texts of all nodes that met another are fetched once. What is joined with texts is dealt out by hash at every size.
+    texts = stored(marked.select(F.col("row").alias("node"), "size", "text").join(reached.hint("shuffle_hash"), "node"))
     totals = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
     large = stored(totals.where((F.col("n") > TILE_ROWS) | (F.col("chars") > TILE_CHARS)).select("root"))
     big = texts.select("node", "size", "root").join(large, "root", "left_semi")
