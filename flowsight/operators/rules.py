@@ -52,6 +52,10 @@ class RuleModel:
             float(config.get("bias", 0.0)),
         )
 
+    def to_json(self) -> str:
+        rules = [{"feature": r.feature, "op": r.op, "value": r.value, "weight": r.weight} for r in self.rules]
+        return json.dumps({"rules": rules, "aggregation": self.aggregation, "clip": list(self.clip), "bias": self.bias})
+
     def on(self, prefix: str) -> "RuleModel":
         """The same model over columns with a prefix."""
         moved = [Rule(prefix + r.feature, r.op, r.value, r.weight) for r in self.rules]

@@ -40,9 +40,9 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return parse_thresholds(whole_files(spark, path))
 
 
-def read_rule_model(spark: SparkSession, path: str) -> RuleModel:
+def read_rule_model(spark: SparkSession, path: str, pattern: str = "*.json") -> RuleModel:
     """A rule model is a short configuration text, read on the driver."""
-    return RuleModel.from_json(whole_files(spark, path).first()["value"])
+    return RuleModel.from_json(whole_files(spark, path, pattern).first()["value"])
 
 
 def parse_scenarios(files: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ _META_AFTER = r"(?s)^[^{}]*\"meta\"\s*:\s*(\{[^{}]*\})"
 _NOTHING = r"^\s*(\[\s*\]|\[|\{\s*\}|null)?\s*$"
 
 
-def read_packet_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """Every .json file of a folder as parse_packet_sequences does, but as a stream of records, one to each closing bracket.
+def read_packet_sequences(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Every file of a folder tree whose name fits pattern, as parse_packet_sequences does, but as a stream of records, one to each closing bracket.
 
     A packet is a flat list, so a record holds one packet, and a file of any length is read in splits by several tasks; no
     task holds a file. Settings of a session are looked for before its first packet and right after its last one. A
@@ -62,14 +62,14 @@ def read_packet_sequences(spark: SparkSession, path: str) -> DataFrame:
     """
     # A listing and a reader write local paths with different numbers of slashes.
     plain = F.regexp_replace("path", "^file:/+", "file:/")
-    records = numbered_records(spark, path, "]", "*.json").withColumn("path", plain)
+    records = numbered_records(spark, path, "]", pattern).withColumn("path", plain)
     heads = records.where("no = 0").select("path", F.col("value").alias("head"))
     starts = heads.select("path", "head", F.col("head").rlike(_OBJECT).alias("as_object"), F.col("head").rlike(_LIST).alias("as_list"))
     # The list of packets ends with a record that is blank: two closing brackets in a row. Without a bracket of its own after
     # the list's, the first record holds no packet, and the list ends with it.
     begin = F.when(F.col("as_object"), F.regexp_replace("head", _OBJECT, "")).otherwise(F.regexp_replace("head", r"(?s)^\s*\[\s*\[", ""))
     has_packet = begin.contains("[")
-    stops = records.where("no > 0").where(F.trim("value") == "").groupBy("path").agg(F.min("no").alias("stop"))
+    stops = records.where("no > 0").where(F.col("value").rlike(r"^\s*$")).groupBy("path").agg(F.min("no").alias("stop"))
     known = cut_lineage(starts.join(stops, "path", "left").select(
         "path", "head", "as_object", "as_list", F.when(has_packet, F.coalesce("stop", F.lit((1 << 62)))).otherwise(F.lit(0)).alias("stop")
     ))
@@ -86,7 +86,7 @@ def read_packet_sequences(spark: SparkSession, path: str) -> DataFrame:
     )
     side = lambda name: F.coalesce(F.get_json_object("meta", f"$.{name}"), F.lit("unknown")).alias(name)
     # Files without a packet still have a row, and so have empty files, which only a listing knows.
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     every = spark.createDataFrame([(file,) for file in reader.text(path).inputFiles()], "path string").withColumn("path", plain)
     counted = records.groupBy("path").agg(F.count(F.lit(1)).alias("records"))
     about = every.join(known, "path", "left").join(meta, "path", "left").join(counted, "path", "left")

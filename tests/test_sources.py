@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsight.schema import FEATURES, FLOW_COLUMNS
+from flowsight.sources.file_export import export_files
 from flowsight.sources import config, dns, flows, logs, packets, sinks
 
 
@@ -138,3 +139,16 @@ def test_logs_and_split(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "split" / "is_match=false"), header=True).count() == 1
     with pytest.raises(ValueError):
         sinks.write_split(spark.range(1), "b", str(tmp_path / "none"))
+
+
+def test_files_appear_all_or_none(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{i}.bin", bytes([i])) for i in range(20)], "file_name string, content binary").repartition(4)
+    export_files(rows, str(tmp_path / "good"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "good").iterdir()} == {f"f{i}.bin": bytes([i]) for i in range(20)}
+    # One name in the last rows cannot be a file's; the files of the tasks that worked do not stay either.
+    bad = rows.withColumn("file_name", F.when(F.col("content") == bytes([13]), F.lit("../f13")).otherwise(F.col("file_name")))
+    with pytest.raises(Exception, match="no name for a file"):
+        export_files(bad, str(tmp_path / "bad"))
+    assert list((tmp_path / "bad").iterdir()) == [] and not (tmp_path / "f13").exists()
+    with pytest.raises(ValueError):
+        export_files(rows, "hdfs://host/folder")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowsight.plans.live import finish, run_to_table, work_folder
 from flowsight.operators.meter import meter
 from flowsight.streaming.detect import open_windows, stream_counters
-from flowsight.streaming.meter import finish_meter, stream_meter, write_batches
+from flowsight.streaming.meter import last_packet, stream_meter, write_batches
 from flowsight.streaming.reassemble import Session, stream_reassemble, use_disk_state
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -97,16 +97,15 @@ def test_closed_conversations_equal_the_batch(spark, tmp_path):
         rows.append((at, "c" if out else "s", "s" if out else "c", 5000 if out else 443, 443 if out else 5000, 40 + i % 7, i))
     rows.append((START + timedelta(seconds=5000), "x", "y", 1, 2, 10, 99))
     schema = "ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, length long, seq long"
-    stream, path = stored(spark, tmp_path, "p", rows, schema, files=3)
-    folder = work_folder(spark)
-    finish(stream_meter(stream, lambda: spark.read.parquet(path), write_batches(f"{folder}/flows"), 20, lateness="0 seconds"), folder)
-    live = spark.read.parquet(f"{folder}/flows").drop("batch").orderBy("flow_id").collect()
-    batch = meter(spark.createDataFrame(rows, schema), 20).where(F.col("SourceIP") != "x").orderBy("flow_id").collect()
-    assert len(live) == 2 and [r.asDict() for r in live] == [r.asDict() for r in batch]
-    # What is left open is metered at the end; then the stream's flows are those of the batch.
-    finish_meter(spark.read.parquet(path), write_batches(f"{folder}/flows"), 20, lateness=0.0)
-    everything = spark.read.parquet(f"{folder}/flows").drop("batch").orderBy("flow_id").collect()
-    assert [r.asDict() for r in everything] == [r.asDict() for r in meter(spark.createDataFrame(rows, schema), 20).orderBy("flow_id").collect()]
+    end = last_packet(spark, START + timedelta(days=3)).first()
+    batch = meter(spark.createDataFrame(rows, schema), 20).orderBy("flow_id").collect()
+    for sent, files, want in ((rows, 3, [r for r in batch if r.SourceIP != "x"]), ([*rows, tuple(end)], 4, batch)):
+        # The last conversation is closed by a later packet of any other.
+        stream, _ = stored(spark, tmp_path, f"p{files}", sent, schema, files=files)
+        folder = work_folder(spark)
+        finish(stream_meter(stream, write_batches(f"{folder}/flows"), 20, lateness="0 seconds"), folder)
+        live = spark.read.parquet(f"{folder}/flows").drop("batch").orderBy("flow_id").collect()
+        assert len(want) == len(live) and [r.asDict() for r in live] == [r.asDict() for r in want]
 
 
 def test_counters_of_open_windows(spark, tmp_path):
