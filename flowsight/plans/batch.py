@@ -9,6 +9,7 @@ from flowsight.operators import (
 )
 from flowsight.plans import adapters as a, adapters_sql as q
 from flowsight.plans.registry import query
+from flowsight.schema import SCENARIO_FIELDS
 from flowsight.schema import FEATURES, STATISTICS
 from flowsight.sources import config, dns
 
@@ -650,11 +651,16 @@ def latest_log_files(spark, folder):
 
 @query("scenario_defaults", f"""WITH {q.SCENARIO_SETTINGS} SELECT s_name AS scenario, coalesce(doh_server, 'https://doh.local/dns-query') AS doh_server, target_domain,
  coalesce(chunk_size, 30) AS chunk_size, coalesce(encoding, 'base64') AS encoding, coalesce(timing_pattern, 'regular') AS timing_pattern,
- CAST(coalesce(base_delay, 0.2) AS DOUBLE) AS base_delay, 3 AS max_retries, true AS subdomain_randomization, CAST(2.0 AS DOUBLE) AS burst_delay FROM conf""")
+ CAST(coalesce(base_delay, 0.2) AS DOUBLE) AS base_delay, false AS compression, false AS encryption, CAST(NULL AS VARCHAR) AS encryption_key,
+ CAST(0.1 AS DOUBLE) AS delay_variance, 5 AS burst_size, CAST(2.0 AS DOUBLE) AS burst_delay, false AS domain_rotation, '' AS backup_domains,
+ true AS subdomain_randomization, false AS padding, 10 AS padding_size, 3 AS max_retries, CAST(1.0 AS DOUBLE) AS retry_delay,
+ CAST(5.0 AS DOUBLE) AS timeout FROM conf""")
 def scenario_defaults(spark, folder):
+    """All twenty settings of each scenario, defaults filled in."""
     parsed = config.parse_scenarios(a.supplier_scenarios(spark, folder))
-    fields = ["doh_server", "target_domain", "chunk_size", "encoding", "timing_pattern", "base_delay", "max_retries", "subdomain_randomization", "burst_delay"]
-    return parsed.select("scenario", *[f"config.{f}" for f in fields])
+    values = {name: F.col(f"config.{name}") for name, _, _ in SCENARIO_FIELDS}
+    values["backup_domains"] = F.array_join(values["backup_domains"], ",")
+    return parsed.select("scenario", *[value.alias(name) for name, value in values.items()])
 
 
 @query("scenario_violations", f"""WITH {q.SCENARIO_SETTINGS} SELECT s_name AS scenario, array_to_string([x FOR x IN [
