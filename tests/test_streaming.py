@@ -92,7 +92,7 @@ def test_session_state_follows_the_rule(seed):
 def test_closed_conversations_equal_the_batch(spark, tmp_path):
     rows = []
     for i in range(60):
-        at = START + timedelta(seconds=i * 2 + (100 if i >= 30 else 0))
+        at = START + timedelta(seconds=i * 2 + i % 4 * 0.3 + (100 if i >= 30 else 0))
         out = i % 3 != 0
         rows.append((at, "c" if out else "s", "s" if out else "c", 5000 if out else 443, 443 if out else 5000, 40 + i % 7, i))
     rows.append((START + timedelta(seconds=5000), "x", "y", 1, 2, 10, 99))
@@ -105,7 +105,9 @@ def test_closed_conversations_equal_the_batch(spark, tmp_path):
         folder = work_folder(spark)
         finish(stream_meter(stream, write_batches(f"{folder}/flows"), 20, lateness="0 seconds"), folder)
         live = spark.read.parquet(f"{folder}/flows").drop("batch").orderBy("flow_id").collect()
-        assert len(want) == len(live) and [r.asDict() for r in live] == [r.asDict() for r in want]
+        # Sums of fractions may differ in the last digit with the order of partial sums.
+        rounded = lambda found: [{k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in found]
+        assert rounded(live) == rounded(want)
 
 
 def test_counters_of_open_windows(spark, tmp_path):
