@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsight.llm.common import Batches, Spans, map_rows, mixed, word_bounds, word_digests
 
@@ -203,22 +204,45 @@ def compare(pairs: list[tuple[int | None, str, str]]) -> list[tuple]:
     ]
 
 
-def _slices(docs: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int | None]]]:
-    """docs with a slice number that falls with doc_id (nulls last), and the slice and first doc_id that follow each."""
-    slices = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _slices(rows: DataFrame) -> tuple[DataFrame, list[tuple[int, int | None, int]]]:
+    """rows with a slice number that rises in their order, and the first row (doc_id, digest) behind each slice.
+
+    The order is by falling doc_id, nulls last, then by digest. A doc_id that spans several quantiles, and the null doc_ids, are
+    cut into as many slices by digest.
+    """
+    slices = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, 10_000)).first()[0] or []))
+    found = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("n"))
+    cuts, known, n = found.first()
+    spans = Counter(cuts or [])
     order = F.col("doc_id").cast("double")
-    if cuts:
-        edges = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_slice", handleInvalid="keep")
-        docs = edges.transform(docs.withColumn("_order", F.coalesce(order, F.lit(float("-inf"))))).drop("_order")
-        number = F.lit(len(cuts)) - F.col("_slice").cast("int")
+    if spans:
+        splits = [float("-inf"), *sorted({float(cut) for cut in spans}), float("inf")]
+        edges = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice", handleInvalid="keep")
+        rows = edges.transform(rows.withColumn("_order", F.coalesce(order, F.lit(float("-inf"))))).drop("_order")
+        last = len(splits) - 1
+        number = F.lit(last) - F.col("_slice").cast("int")
     else:
-        number = F.lit(0)
-    docs = docs.withColumn("_slice", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(number))
-    heads = {r["_slice"]: r["head"] for r in docs.groupBy("_slice").agg(F.max("doc_id").alias("head")).collect()}
+        last, number = 0, F.lit(0)
+    share = F.col("digest").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+    def part(parts: Column) -> Column:
+        return F.least(F.floor(share * parts).cast("int"), parts - F.lit(1))
+
+    # Within its bucket such a doc_id is the smallest, so its rows come last. Doubles tell doc_ids below 2**53 apart.
+    hot = {cut: times for cut, times in spans.items() if times > 1 and abs(cut) < 1 << 53}
+    inside = F.lit(0)
+    if hot:
+        times = F.create_map(*(F.lit(v).cast(kind) for pair in hot.items() for v, kind in zip(pair, ("bigint", "int"))))
+        parts = F.try_element_at(times, F.col("doc_id"))
+        inside = F.when(parts.isNull(), 0).otherwise(F.lit(1) + part(parts))
+    nulls = F.lit(max(1, -(-(n - known) * slices // max(1, n))))
+    at = F.when(F.col("doc_id").isNull(), F.lit((last + 1) * 2 * slices) + part(nulls)).otherwise(number * F.lit(2 * slices) + inside)
+    rows = rows.withColumn("_slice", at.cast("int"))
+    first = F.max(F.struct("doc_id", F.bitwise_not("digest").alias("least"))).alias("first")
+    heads = {r["_slice"]: (r["first"]["doc_id"], ~r["first"]["least"]) for r in rows.groupBy("_slice").agg(first).collect()}
     used = sorted(heads)
-    return docs, {s: (used[(i + 1) % len(used)], heads[used[(i + 1) % len(used)]]) for i, s in enumerate(used)}
+    return rows, [(s, *heads[used[(i + 1) % len(used)]]) for i, s in enumerate(used)]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -232,22 +256,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null text: as empty. Rows with one doc_id follow each other by text digest, rows with a null doc_id come last.
     Repeated rows are documents of their own. Other columns are not read. Empty table: no rows.
 
-    doc_ids are cut into slices at approximate quantiles, which only balance the work; a text moves once, and a second
-    time if it is the first of its slice, to be seen from the slice before.
+    doc_ids are cut into slices at approximate quantiles, which only balance the work, frequent and null doc_ids by text digest; a
+    text moves once, and a second time if it is the first of its slice, to be seen from the slice before. Rows equal in doc_id
+    and text share a slice.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    rows, follows = _slices(rows)
-    # For the first doc_id of each slice, the slice that ends before it.
-    before = {head: s for s, (_, head) in follows.items()}
+    rows, follows = _slices(rows.withColumn("digest", F.xxhash64("text")))
     own = F.struct(F.col("_slice").alias("slice"), F.lit(0).alias("later"))
     spark = docs.sparkSession
-    heads = spark.createDataFrame([(h, s) for h, s in before.items()] or [], "_head bigint, _before int")
+    heads = spark.createDataFrame(follows, "_before int, _head bigint, _digest bigint")
     # One row per slice: a bounded table.
-    rows = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("digest") == F.col("_digest"))
+    rows = rows.join(F.broadcast(heads), same, "left")
     later = F.struct(F.col("_before").alias("slice"), F.lit(1).alias("later"))
     rows = rows.select(
-        "doc_id", "text", F.xxhash64("text").alias("digest"),
+        "doc_id", "text", "digest",
         F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, later))).alias("_at"),
     ).select("doc_id", "text", "digest", "_at.slice", "_at.later")
     rows = rows.repartition("slice").sortWithinPartitions("slice", "later", F.col("doc_id").desc_nulls_last(), "digest")

@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from flowsight.llm.sketches import Tables, Versions, changed_paragraphs, differences, fingerprints, paragraph_digests, paragraphs_of
+from flowsight.llm.sketches import Tables, Versions, _slices, changed_paragraphs, differences, fingerprints, paragraph_digests, paragraphs_of
 
 
 def versions(*key_sets):
@@ -50,9 +51,9 @@ def test_paragraphs():
     assert gone and new
 
 
-def plain(rows):
+def plain(rows, digests=None):
     """Everything by plain sets of paragraphs."""
-    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), digests[r[1]] if digests else 0))
     sets = lambda text: set(paragraph_digests(text).tolist())
     near = lambda a, b: 1 - len(sets(a) ^ sets(b)) / (len(sets(a)) + len(sets(b))) if sets(a) or sets(b) else 1.0
     out = Counter()
@@ -82,3 +83,22 @@ def test_equals_plain_version(docs_of, count):
 def test_rows_that_share_a_doc_id(docs_of):
     found = fingerprints(docs_of([(1, "one"), (2, "two"), (2, "two"), (None, "x"), (None, "x")])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, 1), (False, 2), (False, 2), (True, 0), (True, 0)]
+
+
+def test_frequent_and_null_doc_ids_are_spread_in_order(docs_of):
+    """A doc_id and the nulls hold a third of all rows each; the order of rows is the same, over many slices."""
+    rng = random.Random(9)
+    say = lambda: "".join(rng.choices("ab. \n", k=rng.randint(5, 120)))
+    big = 1 << 60
+    rows = [(500, say()) for _ in range(300)] + [(None, say()) for _ in range(300)]
+    rows += [(d, say()) for d in rng.sample(range(1000), 150)] + [(big + d, say()) for d in range(150)] + [(-3, say())]
+    docs = docs_of(rows)
+    digests = {r.text: r.digest for r in docs.select("text", F.xxhash64("text").alias("digest")).collect()}
+    assert len(digests) == len(rows)
+    sliced, follows = _slices(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")))
+    placed = sorted(sliced.select("_slice", "doc_id", "digest").collect(), key=lambda r: (r[0], r[1] is None, -(r[1] or 0), r[2]))
+    assert placed == sorted(placed, key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+    assert max(Counter(r[0] for r in placed).values()) < len(rows) / 6 and len(follows) > 12
+    found = fingerprints(docs).collect()
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found)
+    assert got == plain(rows, digests)
