@@ -105,8 +105,8 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
 
 
 def slot_of(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record, from its doc_id; from its text too if it has none, so that such records spread."""
-    return F.pmod(F.when(doc_id.isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(doc_id, text)), F.lit(slots)).cast("int")
+    """The slot of a record, from its doc_id and text, so that records with a null or frequent doc_id spread."""
+    return F.pmod(F.xxhash64(doc_id, text), F.lit(slots)).cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None) -> DataFrame:
@@ -118,7 +118,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path:
     slot is the record's place in its shard, gapless from 0: by virtual slot, then by doc_id and text. grown_shard is null,
     as this law has none.
 
-    Null doc_ids spread by their text. Repeated rows have places of their own. A text larger than a shard's share makes
+    Null and repeated doc_ids spread by their text. Repeated rows share a slot and have places of their own. A text larger than a shard's share makes
     its shard larger. Other columns are not read. Empty table: no rows.
 
     The driver holds one number per slot. Texts are read once and never shuffled.

@@ -47,3 +47,17 @@ def test_places_and_sizes(docs_of):
     assert {(r.law, r.grown_shard, r.map_version) for r in found} == {("bytes", None, 1)}
     assert len({r.virtual_slot for r in found if r.doc_id is None}) > 20
     assert shard_documents(docs_of([])).collect() == []
+
+
+def test_a_frequent_doc_id_at_full_size(docs_of):
+    """A third of all rows share a doc_id: at 24 shards and 8,192 slots the sums of bytes stay near equal."""
+    rng = random.Random(5)
+    rows = [(7, f"{i} " + "x" * rng.randint(0, 400)) for i in range(3000)] + [(d, "y" * rng.randint(0, 400)) for d in range(10, 6010)]
+    found = shard_documents(docs_of(rows)).collect()
+    load, slots = Counter(), Counter()
+    for r in found:
+        load[r.shard] += r["size"]
+        slots[r.virtual_slot] += 1
+    assert len(found) == len(rows) and len(load) == 24
+    assert max(load.values()) - min(load.values()) <= 0.001 * sum(load.values()) / 24 + 10
+    assert max(slots.values()) < 20
