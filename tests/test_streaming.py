@@ -110,6 +110,24 @@ def test_closed_conversations_equal_the_batch(spark, tmp_path):
         assert rounded(live) == rounded(want)
 
 
+def test_ended_conversations_are_read_from_files_and_never_broadcast(spark, tmp_path):
+    """What state gives back is not what came in: the micro-batch that closes everything gets one row."""
+    rows = [(START + timedelta(seconds=i), f"c{i % 50}", "s", 5000, 443, 40, i) for i in range(500)]
+    schema = "ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, length long, seq long"
+    end = last_packet(spark, START + timedelta(days=3)).first()
+    stream, _ = stored(spark, tmp_path, "b", [*rows, tuple(end)], schema, files=2)
+    plans, counts = [], []
+
+    def sink(flows, number):
+        plans.append(flows._jdf.queryExecution().executedPlan().toString())
+        counts.append(flows.count())
+
+    finish(stream_meter(stream, sink, 600, lateness="0 seconds"), work_folder(spark))
+    assert sum(counts) == 50 and plans
+    for plan in plans:
+        assert "BroadcastHashJoin" not in plan and "ExistingRDD" not in plan and "FileScan parquet" in plan
+
+
 def test_counters_of_open_windows(spark, tmp_path):
     rows = [(START + timedelta(seconds=i * 7), "c", "s", 5000, 53, 60, i) for i in range(40)]
     schema = "ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, length long, seq long"
