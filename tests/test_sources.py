@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from flowsight.plans import adapters
 from flowsight.schema import FEATURES, FLOW_COLUMNS
 from flowsight.sources.file_export import export_files
 from flowsight.sources import config, dns, flows, logs, packets, sinks
@@ -152,3 +153,15 @@ def test_files_appear_all_or_none(spark, tmp_path):
     assert list((tmp_path / "bad").iterdir()) == [] and not (tmp_path / "f13").exists()
     with pytest.raises(ValueError):
         export_files(rows, "hdfs://host/folder")
+
+
+def test_times_of_chunks_of_long_documents(spark, tmp_path):
+    """Chunk 8,590 of a document is 2^31 microseconds after its first one."""
+    chunks = 8600
+    text = "x" * (chunks * adapters.CHUNK_CHARS // 2)
+    spark.createDataFrame([(1, text, "en"), (2, "ab", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    times = [F.unix_micros("ts").alias("us"), "seq"]
+    for made, shift in ((adapters.encoded_queries, 0), (adapters.repeated_queries, 7_200_000_000)):
+        rows = made(spark, str(tmp_path)).where(F.col("qname").startswith("1-")).select(*times)
+        last = rows.orderBy(F.desc("us")).first()
+        assert (last.seq, last.us) == (chunks - 1, adapters.FIRST_MOMENT_US + 60_000_000 + (chunks - 1) * 250_000 + shift)
