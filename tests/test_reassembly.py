@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsight.functions.codec import alphabet_of, decode_as, decode_cascade
 from flowsight.functions.signatures import file_type
+from flowsight.operators import reassembly
 from flowsight.operators.reassembly import (
     identify, malformed, missing_ranges, parse_chunks, progress, reassemble, session_texts, suspicious, transfer_stats,
 )
@@ -227,3 +228,22 @@ def test_payload_sink(spark, tmp_path):
     assert row.file_name == f"exfiltrated_a_12_0_{int(START.timestamp())}000000.wav"
     export_payload_files(found, str(tmp_path / "out"))
     assert (tmp_path / "out" / row.file_name).read_bytes() == b"RIFF....WAVE"
+
+
+def test_chunk_rows_are_neither_stored_nor_kept_where_counts_do(spark, monkeypatch):
+    """Blocks are stored, not rows per chunk; summaries of sessions do not shuffle the chunks nor join them again."""
+    rows = [("a", n) for i in range(5) for n in names(str(i), bytes(range(60)))]
+    stored = []
+    kept = reassembly.cut_lineage
+    monkeypatch.setattr(reassembly, "cut_lineage", lambda df: stored.append(df.columns) or kept(df))
+    assert len(payloads(spark, rows)) == 5
+    assert "text" in stored[0] and all("chunk" not in columns and "idx" not in columns for columns in stored)
+    frame = events(spark, [r for r in rows if "-0003-" not in r[1]])
+    plan = missing_ranges(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "chunk" not in plan.split("Project")[0].lower()
+    assert [(r.session_id, r.missing) for r in progress(frame).orderBy("session_id").collect()] == [(str(i), 1) for i in range(5)]
+    del stored[:]
+    # An index past the announced ones: the sessions that have one are counted once more.
+    strange = events(spark, [*rows[:10], ("a", "0-0099-0010-AAAA.exfill.local"), ("b", "0-0000-0002-AAAA.exfill.local")])
+    assert {(r.src_ip, r.received, r.missing) for r in progress(strange).collect()} == {("a", 11, 0), ("b", 1, 1)}
+    assert {(r.src_ip, r.first_missing, r.last_missing) for r in missing_ranges(strange).collect()} == {("b", 1, 1)}
