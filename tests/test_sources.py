@@ -165,3 +165,21 @@ def test_times_of_chunks_of_long_documents(spark, tmp_path):
         rows = made(spark, str(tmp_path)).where(F.col("qname").startswith("1-")).select(*times)
         last = rows.orderBy(F.desc("us")).first()
         assert (last.seq, last.us) == (chunks - 1, adapters.FIRST_MOMENT_US + 60_000_000 + (chunks - 1) * 250_000 + shift)
+
+
+def test_trees_of_many_parts_get_few_files_and_one_read(spark, tmp_path, monkeypatch):
+    rows = spark.range(4000).repartition(8).select(
+        F.lit("10.0.0.1").alias("SourceIP"), F.col("id").cast("double").alias("Duration"), (F.col("id") % 20).cast("int").alias("part")
+    )
+    sinks.write_parts(rows, f"{tmp_path}/tree", "part")
+    assert len(list((tmp_path / "tree").glob("part=*/*.csv"))) == 20
+    monkeypatch.setattr(flows, "_HEADER_GROUP", 3)
+    read = flows.read_flows(spark, f"{tmp_path}/tree", recursive=True)
+    assert "Union" not in read._jdf.queryExecution().optimizedPlan().toString()
+    part = F.regexp_extract("source_file", "part=([0-9]+)/", 1)
+    found = {(r.part, r.n, r.s) for r in read.groupBy(part.alias("part")).agg(F.count("Duration").alias("n"), F.sum("Duration").alias("s")).collect()}
+    assert found == {(str(p), 200, float(sum(range(p, 4000, 20)))) for p in range(20)}
+    # Another header in the tree: every file is read by its own again.
+    (tmp_path / "tree" / "other.csv").write_text("Duration,SourceIP\n7,10.0.0.2\n")
+    both = flows.read_flows(spark, f"{tmp_path}/tree", recursive=True)
+    assert both.count() == 4001 and both.where("SourceIP = '10.0.0.2'").first().Duration == 7.0
