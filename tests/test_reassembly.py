@@ -247,3 +247,30 @@ def test_chunk_rows_are_neither_stored_nor_kept_where_counts_do(spark, monkeypat
     strange = events(spark, [*rows[:10], ("a", "0-0099-0010-AAAA.exfill.local"), ("b", "0-0000-0002-AAAA.exfill.local")])
     assert {(r.src_ip, r.received, r.missing) for r in progress(strange).collect()} == {("a", 11, 0), ("b", 1, 1)}
     assert {(r.src_ip, r.first_missing, r.last_missing) for r in missing_ranges(strange).collect()} == {("b", 1, 1)}
+
+
+def _shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_texts_of_one_block_are_not_shuffled_again(spark):
+    rows = [(s, n) for s in "ab" for n in names("7", bytes(range(60)))]
+    found = reassemble(events(spark, rows))
+    assert _shuffles(found) == 0 and found.count() == 2
+    assert _shuffles(payload_table(found).where("pieces = 1")) <= _shuffles(identify(found))
+
+
+def test_a_block_is_not_whole_if_the_session_has_another(spark):
+    data = bytes(range(60))
+    whole, late = names("7", data), f"7-{reassembly.BLOCK_CHUNKS + 5}-0010-AAAA.exfill.local"
+    rows = [("a", late), *[("a", n) for n in whole], *[("b", n) for n in whole]]
+    for options in ({}, {"piece_chars": 16}, {"decode_mode": "cascade"}):
+        found = reassemble(events(spark, rows), **options).orderBy("src_ip", "piece").collect()
+        assert {r.src_ip for r in found} == {"b"} and b"".join(bytes(r.payload) for r in found) == data
+
+
+def test_cascade_decodes_once_per_transfer(spark):
+    found = reassemble(events(spark, [("a", n) for n in names("7", bytes(range(60)))]), decode_mode="cascade")
+    used = found.where(F.col("encoding") == "base64url").select("encoding", F.sha2("payload", 256), F.length("payload"))
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z0-9+/=]") == found._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9+/=]")
