@@ -14,6 +14,7 @@ from flowsight.operators import reassembly
 from flowsight.operators.reassembly import (
     identify, malformed, missing_ranges, parse_chunks, progress, reassemble, session_texts, suspicious, transfer_stats,
 )
+from flowsight.plans import adapters
 from flowsight.sources.sinks import export_payload_files, payload_table
 
 START = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -274,3 +275,14 @@ def test_cascade_decodes_once_per_transfer(spark):
     used = found.where(F.col("encoding") == "base64url").select("encoding", F.sha2("payload", 256), F.length("payload"))
     plan = used._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^A-Za-z0-9+/=]") == found._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9+/=]")
+
+
+def test_names_are_made_once_and_not_in_a_filter(spark, tmp_path):
+    rows = [(7, "a b", "en"), (None, "x" * 40, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = adapters.document_queries(spark, str(tmp_path))
+    assert "7-0000-0001-YSBi.exfill.local" in {r.qname for r in found.collect()}
+    assert {r.qname.split("-")[0] for r in found.collect()} == {"7", "null"}
+    plan = parse_chunks(found)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "qname" in line or "format_string" in line]
+    assert filters and not any("format_string" in line or "concat(" in line for line in filters)
