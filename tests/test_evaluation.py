@@ -110,6 +110,42 @@ def test_neighbours_are_exact_with_copies(spark, cell_points):
         assert found[p.id][-1]["distance"] == pytest.approx(want[-1])
 
 
+def test_neighbours_across_tiles(spark):
+    """Many small tiles, equal distances, copies, a missing and an infinite coordinate: as a plain search finds them."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(0, 4, size=(150, 3)).astype(float), 1e7 + rng.normal(size=(150, 3))])
+    x[7, 1], x[20, 2] = np.nan, np.inf
+    rows = [(f"p{i}", [float(c) for c in v], int(rng.integers(1, 3))) for i, v in enumerate(x)]
+    points, work = spark.createDataFrame(rows, "id string, vec array<double>, copies bigint"), {}
+    found = {r.id: [(n.distance, n.near, n["copies"]) for n in r.neighbours] for r in neighbours.nearest_points(points, 4, cell_points=8, tile_points=24, work=work).collect()}
+    assert work["all"] == 300 ** 2 and 0 < work["compared"] < work["all"]
+    for i, (name, vec, _) in enumerate(rows):
+        with np.errstate(all="ignore"):
+            distance = np.sqrt(sum((x[:, d] - vec[d]) ** 2 for d in range(3)))
+        want, seen = [], 0
+        for at, near, copies in sorted((distance[j], rows[j][0], rows[j][2]) for j in range(300) if j != i and not np.isnan(distance[j])):
+            if seen < 4:
+                want.append((at, near, copies))
+                seen += copies
+        assert found.get(name, []) == want
+
+
+def test_neighbours_do_not_send_points_to_every_block(spark, monkeypatch):
+    """In many dimensions no block can be left out; what is stored between the steps stays near the number of points."""
+    counts, store = [], neighbours.cut_lineage
+
+    def counting(df):
+        kept = store(df)
+        counts.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(neighbours, "cut_lineage", counting)
+    x = np.random.default_rng(6).normal(size=(1500, 32))
+    points = spark.createDataFrame([(str(i), [float(c) for c in v], 1) for i, v in enumerate(x)], "id string, vec array<double>, copies bigint")
+    assert neighbours.nearest_points(points, 3, cell_points=16).count() == 1500
+    assert max(counts) <= 4 * 3 * 1500
+
+
 def test_smote_lies_between_rows_and_cleaning_follows_the_rule(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(0, 1, (60, 2)), rng.normal(1.5, 1, (20, 2))
