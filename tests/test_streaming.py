@@ -10,7 +10,7 @@ from flowsight.plans.live import finish, run_to_table, work_folder
 from flowsight.operators.meter import meter
 from flowsight.streaming.detect import open_windows, stream_counters
 from flowsight.streaming.meter import last_packet, stream_meter, write_batches
-from flowsight.streaming.reassemble import Session, stream_reassemble, use_disk_state
+from flowsight.streaming.reassemble import Session, SessionState, stream_reassemble, use_disk_state
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -89,6 +89,52 @@ def test_session_state_follows_the_rule(seed):
     assert [(*r[:3], r[-1]) for r in out] == want
 
 
+def test_state_keeps_arrivals_and_chunks_in_few_values(monkeypatch):
+    """Calls to the state store do not grow with the arrivals; a transfer that stays open is appended to, and not rewritten."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.values = name, []
+
+        def call(self, what, values):
+            calls.append((self.name, what, len(values)))
+            self.values = values
+
+        exists = lambda self: bool(self.values)
+        get = lambda self: (self.values[0] if self.values else None) if self.name == "about" else iter(list(self.values))
+        iterator = lambda self: iter(self.values)
+        clear = lambda self: self.call("clear", [])
+        put = lambda self, values: self.call("put", list(values))
+        update = lambda self, value: self.call("update", [value])
+        appendList = lambda self, values: self.call("append", [*self.values, *values])
+        updateValue = lambda self, key, value: self.call("set", [*self.values, (key, value)])
+
+    class Handle:
+        getListState = getValueState = lambda self, name, *_: State(name)
+        getMapState = lambda self, name, *_: State(name)
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Timers:
+        now = 0
+        getCurrentWatermarkInMs = lambda self: self.now
+
+    class Fired:
+        getExpiryTimeInMs = lambda self: 1
+
+    state, timers = SessionState((1 << 60,) * 3, 1 << 20), Timers()
+    state.init(Handle())
+    rows = [(1000 + i, i, i, 3000, "AAAA") for i in range(3000)]
+    assert list(state._advance(("a", "1"), rows[:1500], timers)) == []
+    timers.now = 100
+    assert list(state.handleExpiredTimer(("a", "1"), timers, Fired())) == []
+    assert list(state._advance(("a", "1"), rows[1500:2999], timers)) == []
+    assert len(calls) < 20 and all(size <= 3 for _, _, size in calls)
+    out = list(state._advance(("a", "1"), rows[2999:], timers))
+    assert len(out) == 1 and out[0].complete and out[0].text == "AAAA" * 3000
+    assert len(calls) < 20
+
+
 def test_closed_conversations_equal_the_batch(spark, tmp_path):
     rows = []
     for i in range(60):
