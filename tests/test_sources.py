@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from flowsight.plans import adapters
+from flowsight.plans import adapters, files
 from flowsight.schema import FEATURES, FLOW_COLUMNS
 from flowsight.sources.file_export import export_files
 from flowsight.sources import config, dns, flows, logs, packets, sinks
@@ -183,3 +183,27 @@ def test_trees_of_many_parts_get_few_files_and_one_read(spark, tmp_path, monkeyp
     (tmp_path / "tree" / "other.csv").write_text("Duration,SourceIP\n7,10.0.0.2\n")
     both = flows.read_flows(spark, f"{tmp_path}/tree", recursive=True)
     assert both.count() == 4001 and both.where("SourceIP = '10.0.0.2'").first().Duration == 7.0
+
+
+@pytest.mark.parametrize("name", ["log_files", "packet_files"])
+def test_small_files_are_written_by_many_tasks(spark, monkeypatch, name):
+    """Rows of many small files have few bytes; their files are not left to one task."""
+    partitions, packets_of = [], adapters.event_packets
+
+    class Written(Exception):
+        pass
+
+    def text(writer, path, **options):
+        partitions.append(writer._df.rdd.getNumPartitions())
+        raise Written
+
+    users = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_micros(1700000000000000 + id) AS ts", "id % 50 AS user_id", "'click' AS event_type", "1.0D AS value",
+    )
+    turns = spark.range(400).selectExpr("id % 50 AS conv_id", "CAST(id DIV 50 AS INT) AS turn", "'user' AS role", "'hello' AS text")
+    monkeypatch.setattr(adapters, "table", lambda spark, folder, name: {"events": users, "conversations": turns}[name])
+    monkeypatch.setattr(adapters, "event_packets", lambda spark, folder: packets_of(spark, folder, lambda *_: users))
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.text", text)
+    with pytest.raises(Written):
+        getattr(files, name)(spark, "unused")
+    assert partitions[0] >= spark.sparkContext.defaultParallelism
