@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsight.functions.numeric import to_number
 from flowsight.runtime import cut_lineage
-from flowsight.sources.numbered import numbered_records
+from flowsight.sources.numbered import number_records, text_records
 
 _SESSIONS = "array<struct<features:array<array<string>>,meta:struct<src_ip:string,dst_ip:string>>>"
 _LISTS = "array<array<array<string>>>"
@@ -62,7 +62,8 @@ def read_packet_sequences(spark: SparkSession, path: str, pattern: str = "*.json
     """
     # A listing and a reader write local paths with different numbers of slashes.
     plain = F.regexp_replace("path", "^file:/+", "file:/")
-    records = numbered_records(spark, path, "]", pattern).withColumn("path", plain)
+    read = text_records(spark, path, "]", pattern)
+    records = number_records(read).withColumn("path", plain)
     heads = records.where("no = 0").select("path", F.col("value").alias("head"))
     starts = heads.select("path", "head", F.col("head").rlike(_OBJECT).alias("as_object"), F.col("head").rlike(_LIST).alias("as_list"))
     # The list of packets ends with a record that is blank: two closing brackets in a row. Without a bracket of its own after
@@ -86,8 +87,7 @@ def read_packet_sequences(spark: SparkSession, path: str, pattern: str = "*.json
     )
     side = lambda name: F.coalesce(F.get_json_object("meta", f"$.{name}"), F.lit("unknown")).alias(name)
     # Files without a packet still have a row, and so have empty files, which only a listing knows.
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    every = spark.createDataFrame([(file,) for file in reader.text(path).inputFiles()], "path string").withColumn("path", plain)
+    every = spark.createDataFrame([(file,) for file in read.inputFiles()], "path string").withColumn("path", plain)
     counted = records.groupBy("path").agg(F.count(F.lit(1)).alias("records"))
     about = every.join(known, "path", "left").join(meta, "path", "left").join(counted, "path", "left")
     shaped = F.coalesce(F.col("as_object") | F.col("as_list"), F.lit(False))

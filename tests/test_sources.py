@@ -207,3 +207,17 @@ def test_small_files_are_written_by_many_tasks(spark, monkeypatch, name):
     with pytest.raises(Written):
         getattr(files, name)(spark, "unused")
     assert partitions[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_packet_files_are_listed_once(spark, tmp_path, monkeypatch):
+    """Listing a tree of many folders takes longer than reading it."""
+    from pyspark.sql import DataFrameReader
+
+    read, listed = DataFrameReader.text, []
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *args, **options: listed.append(args) or read(self, *args, **options))
+    (tmp_path / "c.json").write_text('[{"features": [[1, 0, 5], [2, 0, 6]], "meta": {"src_ip": "x"}}]')
+    (tmp_path / "d.json").write_text("")
+    got = packets.read_packet_sequences(spark, str(tmp_path)).collect()
+    assert len(listed) == 1
+    assert sorted((r.file, r.size, r.error) for r in got if r.size) == [("c.json", 5.0, None), ("c.json", 6.0, None)]
+    assert [r.error for r in got if r.file == "d.json"] == [packets.EMPTY_FILE]
