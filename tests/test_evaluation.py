@@ -75,6 +75,17 @@ def test_clean_and_labels(spark):
     assert {r.Label: r.label_idx for r in clean.encode_labels(labels.na.drop()).collect()} == {"Benign": 0, "Malicious": 1, "Other": 2}
 
 
+def test_cap_ranks_only_the_slices_it_keeps_rows_of(spark, monkeypatch):
+    df = spark.range(60000).select("id", F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 1000 == 1, None).otherwise("b").alias("y"))
+    ranked, real = [], sampling.shuffled_rank
+    monkeypatch.setattr(sampling, "shuffled_rank", lambda rows, *rest: (ranked.append(rows.count()), real(rows, *rest))[1])
+    kept = {r.id for r in sampling.stratified_cap(df, "y", ["id"], max_rows=900).collect()}
+    plain = real(df, ["y"], ["id"], 42).where(F.col("shuffled_rank") <= 300)
+    assert kept == {r.id for r in plain.collect()} and len(kept) == 600
+    # All rows went through the ranking, and its shuffle, before.
+    assert ranked[0] < 1000
+
+
 def test_sampling(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 900, "a").otherwise("b").alias("y"))
     capped = sampling.stratified_cap(df, "y", ["id"], max_rows=400).groupBy("y").count().collect()
