@@ -140,3 +140,27 @@ def test_sample_is_of_passages_of_distinct_texts(docs_of):
     assert all(bytes(r.words) in known for r in found)
     assert sample_passages(docs, 0, 100.0).count() == 0
     assert sample_passages(docs_of([]), 10, 0.0).count() == 0
+
+
+def test_space_is_fitted_on_every_passage(docs_of):
+    """More passages than the space was once fitted on, with a long text and copies, which count once."""
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{i}" for i in range(50)])
+    texts = [rng.integers(0, 50, n) for n in [70_000, *[1_640] * 1_000]]
+    written = [" ".join(names[t]) for t in texts]
+    docs = docs_of([(d, t) for d, t in enumerate([*written, *written[:40], *written[:40]])])
+    space = fit_space(docs)
+    column = _hashed(features(" ".join(names)))
+    assert len(set(column.tolist())) == 50
+    second, n = np.zeros((50, 50)), 0
+    for text in texts:
+        blocks = np.zeros((-(-len(text) // STRIDE), 50))
+        np.add.at(blocks, (np.arange(len(text)) // STRIDE, text), 1)
+        counts = blocks[:-2] + blocks[1:-1] + blocks[2:]
+        passages = counts * space.idf[column]
+        passages /= np.sqrt((counts * space.idf[column] ** 2).sum(axis=1, keepdims=True))
+        second += passages.T @ passages
+        n += len(passages)
+    assert n > 100_000
+    folded = space.basis[column].T @ second @ space.basis[column]
+    assert space.basis.shape[1] == 50 and np.allclose(folded, np.eye(50), atol=0.02)
